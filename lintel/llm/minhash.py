@@ -9,9 +9,10 @@ whose signatures differ in more than 28 symbols are discarded (chance 2e-9 at 0.
 verified on their full shingle sets.
 
 Texts with equal sets are one class from the start. Within a bucket no pairs are emitted all with
-all: members are compared with one hub per round and only with members of other components;
-what still shares a key across components after the hub rounds is compared in full, so no link that
-could join two components is lost. Components are found by distributed stars; nothing but
+all: members are compared with one hub per round and only with members of other components. Texts
+that still share a key across components are re-bucketed by an exact prefix filter (their rarest
+shingles), which parts texts that only have a common passage; hubs settle these buckets too, and what
+is left in them is compared in full, so no link that could join two components is lost. Components are found by distributed stars; nothing but
 counts reaches the driver.
 
 Edge cases: null or empty texts have an empty set, link with nothing and form their own component;
@@ -128,27 +129,103 @@ def _distance(a: str, b: str):
     return SYMBOLS - sum(same[1:], same[0])
 
 
+_BUCKET = ("key", "node", "size", "pos")
+
+
 class _Linker:
-    """Classes of equal sets, their texts, and verified links between classes."""
+    """Finds links between classes of equal sets, bucket by bucket, and keeps the components."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.width, self.percent = width, percent
-        self.classes = classes
+    def __init__(self, classes: DataFrame, texts: DataFrame, width: int, percent: int):
+        self.classes, self.texts, self.width, self.percent = classes, texts, width, percent
         self.links: DataFrame | None = None
-        self.docs = docs
-        self.texts: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.tried: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of the (u, v) pairs those whose sets reach the threshold."""
         sig = self.classes.select("node", "sig")
         near = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
         near = near.where(_distance("su", "sv") <= DISTANCE).select("u", "v")
-        texts = self.texts
-        full = near.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+        full = near.join(self.texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(self.texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
         return full.select("u", "v", "tu", "tv").mapInArrow(_verify(self.width, self.percent), "u binary, v binary")
 
+    def mixed(self, buckets: DataFrame) -> DataFrame:
+        """(key, node, label) of the buckets that still hold members of several components."""
+        if self.labels is None:
+            return buckets.select(*_BUCKET, F.col("node").alias("label"))
+        rows = buckets.select(*_BUCKET).join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return rows.join(several, "key").select(*_BUCKET, "label")
+
+    def across(self, members: DataFrame, others: DataFrame, order: str) -> DataFrame:
+        """Pairs within a bucket and across components, but for those that size and position rule out.
+
+        With the first shared shingle at positions i and j no more than min(size - i) can be shared.
+        """
+        other = others.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "label", "size", "pos")])
+        need = F.ceil((F.col("size") + F.col("v_size")) * self.percent / F.lit(100 + self.percent))
+        open_ = (F.col("size") == 0) | (F.least(F.col("size") - F.col("pos"), F.col("v_size") - F.col("v_pos")) >= need)
+        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & F.expr(order) & open_)
+        return near.select(F.col("node").alias("u"), F.col("v_node").alias("v"))
+
+    def link(self, pairs: DataFrame) -> None:
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["u", "v"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        new = materialize(self.verified(pairs), "links")
+        self.links = new if self.links is None else self.links.unionByName(new)
+        if self.labels is None or new.limit(1).count():
+            self.labels = connected_components(self.links)
+
+    def settle(self, buckets: DataFrame, rounds: int, turn: int) -> DataFrame | None:
+        """Compare bucket members of other components with one hub per bucket and round.
+
+        Returns what is still mixed after the rounds, or None when nothing is.
+        """
+        left = materialize(self.mixed(buckets), "open")
+        for r in range(turn, turn + rounds):
+            if not left.limit(1).count():
+                return None
+            pick = F.max_by(F.struct("node", "label", "size", "pos"), F.xxhash64(F.lit(r), "node")).alias("h")
+            hubs = left.groupBy("key").agg(pick).select("key", "h.*")
+            self.link(self.across(left, hubs, "true"))
+            older, left = left, materialize(self.mixed(left), "open")
+            discard(older)
+        return left if left.limit(1).count() else None
+
+
+def _tokens(width: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                sets = [shingle_set(t, width) for t in some.column("text").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                size = pa.array(np.repeat([len(s) for s in sets], [len(s) for s in sets]), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column("node").take(row), size, pa.array(np.concatenate(sets).view(np.int64))], ["node", "size", "key"])
+
+    return run
 
-def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: int = 4) -> DataFrame:
+
+def _rare_buckets(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, node, size, pos) by prefix filter: sets that share ``percent`` of their union share one of the
+    size - ceil(percent size) + 1 shingles that are rarest over all of ``texts``.
+
+    Shingles that occur once use up prefix places but open no bucket.
+    """
+    tokens = texts.mapInArrow(_tokens(width), "node binary, size long, key long")
+    often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = tokens.join(often, "key")
+    rows = shared.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("t"))
+    once = F.col("size") - F.size("t")
+    places = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1 - once
+    exploded = rows.where(places > 0).select("node", "size", once.alias("once"), F.posexplode(F.slice("t", F.lit(1), places.cast("int"))).alias("i", "x"))
+    return exploded.select(F.col("x.key").alias("key"), "node", "size", (F.col("once") + F.col("i")).alias("pos"))
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: int = 2) -> DataFrame:
     """(doc_id, rid, n_shingles, node, label): label names a row's component, null without words.
 
     ``label`` is a class digest; rows link if their sets share at least ``percent`` of their union.
@@ -158,41 +235,27 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: i
     facts = materialize(rows.mapInArrow(_describe(width), f"doc_id {kind}, rid long, n_shingles long, node binary, sig binary"), "signatures")
     classes = facts.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("r"))
     classes = materialize(classes.select("node", "sig", F.col("r.doc_id").alias("doc_id"), F.col("r.rid").alias("rid")), "classes")
-    linker = _Linker(rows, classes, width, percent)
     buckets = classes.select("node", "sig").mapInArrow(_bucket, "key long, node binary")
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
-    shared = materialize(buckets.join(hubs, "key"), "buckets")
+    several = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = buckets.join(several, "key").select("key", "node", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("pos"))
+    shared = materialize(shared, "buckets")
     # The texts of the classes that share a bucket with another class, once for all rounds.
     wanted = shared.select("node").distinct().join(classes.select("node", "doc_id", "rid"), "node")
     keyed = rows.select(F.col("doc_id").alias("id"), F.col("rid").alias("key"), "text")
     found = keyed.join(wanted, (F.col("key") == F.col("rid")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    linker.texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links, labels, open_buckets = None, None, shared.select("key", "node", F.col("node").alias("label"))
-    tried = None
-    for turn in range(hub_rounds + 1):
-        if turn:
-            joined = open_buckets.drop("label").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = joined.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            open_buckets = materialize(joined.join(mixed, "key").select("key", "node", "label"), "open")
-            if not open_buckets.limit(1).count():
-                break
-        if turn < hub_rounds:
-            pick = F.max_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("h")
-            chosen = open_buckets.groupBy("key").agg(pick).select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
-            paired = open_buckets.join(chosen, "key").where("label <> hub_label").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-        else:
-            other = open_buckets.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"))
-            paired = open_buckets.join(other, "key").where("label <> v_label and node > v").select(F.col("node").alias("u"), "v")
-        pairs = paired.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = materialize(linker.verified(pairs), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = connected_components(links)
+    texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    linker = _Linker(classes, texts, width, percent)
+    left = linker.settle(shared, hub_rounds, 0)
+    if left is not None:
+        # Crowded buckets of sets that are alike but not linked: split by their rarest shingles.
+        rest = texts.join(left.select("node").distinct(), "node")
+        left = linker.settle(materialize(_rare_buckets(rest, width, percent), "rare"), min(1, hub_rounds), hub_rounds)
+    if left is not None:
+        linker.link(linker.across(left, left, "node > v_node"))
     out = facts.select("doc_id", "rid", "n_shingles", "node")
-    return out.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if linker.labels is None:
+        return out.withColumn("label", F.col("node"))
+    return out.join(linker.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
