@@ -89,7 +89,8 @@ def _bucket(batches):
         nodes = batch.column("node").to_pylist()
         if nodes:
             keys = chunk_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), keys.shape[1])))], ["key", "node"])
+            row = pa.array(np.repeat(np.arange(len(nodes)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(row), batch.column("sig").take(row)], ["key", "node", "sig"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -129,24 +130,21 @@ def _distance(a: str, b: str):
     return SYMBOLS - sum(same[1:], same[0])
 
 
-_BUCKET = ("key", "node", "size", "pos")
+_BUCKET = ("key", "node", "sig", "size", "pos")
 
 
 class _Linker:
     """Finds links between classes of equal sets, bucket by bucket, and keeps the components."""
 
-    def __init__(self, classes: DataFrame, texts: DataFrame, width: int, percent: int):
-        self.classes, self.texts, self.width, self.percent = classes, texts, width, percent
+    def __init__(self, texts: DataFrame, width: int, percent: int):
+        self.texts, self.width, self.percent = texts, width, percent
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.tried: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of the (u, v) pairs those whose sets reach the threshold."""
-        sig = self.classes.select("node", "sig")
-        near = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
-        near = near.where(_distance("su", "sv") <= DISTANCE).select("u", "v")
-        full = near.join(self.texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(self.texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+        full = pairs.join(self.texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(self.texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
         return full.select("u", "v", "tu", "tv").mapInArrow(_verify(self.width, self.percent), "u binary, v binary")
 
     def mixed(self, buckets: DataFrame) -> DataFrame:
@@ -158,14 +156,15 @@ class _Linker:
         return rows.join(several, "key").select(*_BUCKET, "label")
 
     def across(self, members: DataFrame, others: DataFrame, order: str) -> DataFrame:
-        """Pairs within a bucket and across components, but for those that size and position rule out.
+        """Pairs within a bucket and across components, but for those that the signatures' distance, or
+        size and position, rule out.
 
         With the first shared shingle at positions i and j no more than min(size - i) can be shared.
         """
-        other = others.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "label", "size", "pos")])
+        other = others.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "sig", "label", "size", "pos")])
         need = F.ceil((F.col("size") + F.col("v_size")) * self.percent / F.lit(100 + self.percent))
         open_ = (F.col("size") == 0) | (F.least(F.col("size") - F.col("pos"), F.col("v_size") - F.col("v_pos")) >= need)
-        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & F.expr(order) & open_)
+        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & F.expr(order) & open_ & (_distance("sig", "v_sig") <= DISTANCE))
         return near.select(F.col("node").alias("u"), F.col("v_node").alias("v"))
 
     def link(self, pairs: DataFrame) -> None:
@@ -188,7 +187,7 @@ class _Linker:
         for r in range(turn, turn + rounds):
             if not left.limit(1).count():
                 return None
-            pick = F.max_by(F.struct("node", "label", "size", "pos"), F.xxhash64(F.lit(r), "node")).alias("h")
+            pick = F.max_by(F.struct("node", "sig", "label", "size", "pos"), F.xxhash64(F.lit(r), "node")).alias("h")
             hubs = left.groupBy("key").agg(pick).select("key", "h.*")
             self.link(self.across(left, hubs, "true"))
             older, left = left, materialize(self.mixed(left), "open")
@@ -235,21 +234,21 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: i
     facts = materialize(rows.mapInArrow(_describe(width), f"doc_id {kind}, rid long, n_shingles long, node binary, sig binary"), "signatures")
     classes = facts.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("r"))
     classes = materialize(classes.select("node", "sig", F.col("r.doc_id").alias("doc_id"), F.col("r.rid").alias("rid")), "classes")
-    buckets = classes.select("node", "sig").mapInArrow(_bucket, "key long, node binary")
+    buckets = classes.select("node", "sig").mapInArrow(_bucket, "key long, node binary, sig binary")
     several = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = buckets.join(several, "key").select("key", "node", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("pos"))
+    shared = buckets.join(several, "key").select("key", "node", "sig", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("pos"))
     shared = materialize(shared, "buckets")
     # The texts of the classes that share a bucket with another class, once for all rounds.
     wanted = shared.select("node").distinct().join(classes.select("node", "doc_id", "rid"), "node")
     keyed = rows.select(F.col("doc_id").alias("id"), F.col("rid").alias("key"), "text")
     found = keyed.join(wanted, (F.col("key") == F.col("rid")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
     texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    linker = _Linker(classes, texts, width, percent)
+    linker = _Linker(texts, width, percent)
     left = linker.settle(shared, hub_rounds, 0)
     if left is not None:
         # Crowded buckets of sets that are alike but not linked: split by their rarest shingles.
         rest = texts.join(left.select("node").distinct(), "node")
-        left = linker.settle(materialize(_rare_buckets(rest, width, percent), "rare"), min(1, hub_rounds), hub_rounds)
+        left = linker.settle(materialize(_rare_buckets(rest, width, percent).join(classes.select("node", "sig"), "node"), "rare"), min(1, hub_rounds), hub_rounds)
     if left is not None:
         linker.link(linker.across(left, left, "node > v_node"))
     out = facts.select("doc_id", "rid", "n_shingles", "node")
