@@ -72,21 +72,25 @@ def _seeds(length: int, gram: int):
 
 
 def suffix_array(text: np.ndarray, bound: int) -> np.ndarray:
-    """Suffixes of an int array ordered by at least their first ``bound`` symbols, by doubling."""
+    """Suffixes of an array of symbols below 512, ordered by at least their first ``bound`` symbols.
+
+    The first pass packs seven symbols in one key, then ranks are doubled.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    reach = 1
+    key = np.zeros(n, np.int64)
+    for j in range(min(7, n)):
+        key[: n - j] |= text[j:] << np.int64(9 * (6 - j))
+    reach = 7
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+        if reach >= bound or step[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = step
+        key = rank * (n + 1)
+        key[: max(0, n - reach)] += rank[reach:] + 1
         reach *= 2
-        if reach >= bound or step[-1] == n - 1:
-            return order
 
 
 def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -98,21 +102,22 @@ def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(text)
     before = text[order - 1]  # symbol 0 precedes the first suffix; it is a separator
-    by_symbol = np.argsort(before, kind="stable")  # LF mapping: rank of each extension
+    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")  # LF mapping: rank of each extension
     extended = np.empty(n, np.int64)
     extended[by_symbol] = np.arange(n)
     mark = np.zeros(n + 1, bool)
     mark[[0, n]] = True
     lo, hi = np.array([0]), np.array([n])
+    symbols = int(text.max()) + 1
     for _ in range(length):
         sizes = hi - lo
         inside = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         owner = np.repeat(np.arange(len(lo)), sizes)
         symbol, to = before[inside], extended[inside]
-        key = owner * (int(text.max()) + 1) + symbol
-        first = np.argsort(key, kind="stable")
+        key = owner * symbols + symbol
+        first = np.argsort(key)
         edge = np.flatnonzero(np.concatenate(([True], key[first][1:] != key[first][:-1])))
-        new_lo = to[first][edge]  # extensions by one symbol keep their order
+        new_lo = np.minimum.reduceat(to[first], edge)  # extensions by one symbol are neighbours
         new_hi = new_lo + np.diff(np.concatenate((edge, [len(first)])))
         live = symbol[first][edge] > 0
         new_lo, new_hi = new_lo[live], new_hi[live]
