@@ -190,7 +190,9 @@ def test_chunk_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    enc = packing.ChunkEncoder(packing.default_tokenizer(), limit=50)
+    enc = packing.ChunkEncoder(packing.default_tokenizer(), chunks=50, runs=20)
+    assert enc.fast
+    hard = ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x400, 64)] + [f"a{chr(c)}b {chr(c)}'S {chr(c)}1" for c in range(1, 0x250)]
     texts = ["It's  a test\x1cof <|endoftext|>x <|start of", "é Å   ̀x", "  ", "\r\n\tdon't 12ab   x", "ΑΣ ΑΣ. İ", *[r[1] or "" for r in ROWS]]
     for t, got in zip(texts, enc.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
