@@ -377,13 +377,13 @@ def _signals(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return parsed, signals.aligned(styles, parsed)
 
 
-@query(values("page_id BIGINT, ord INTEGER, rule_id VARCHAR, sc VARCHAR, severity VARCHAR, detail VARCHAR", [(-1, 2, "rendered-contrast", "1.4.3", "majeur", "1.67"), (-1, 6, "rendered-link-colour-only", "1.4.1", "majeur", "1.87"), (-1, 9, "rendered-nontext-contrast", "1.4.11", "majeur", "input")]))
+@query(values("page_id BIGINT, ord INTEGER, rule_id VARCHAR, sc VARCHAR, severity VARCHAR, detail VARCHAR", [(-1, 2, "rendered-contrast", "1.4.3", "majeur", "1.67"), (-1, 6, "rendered-link-colour-only", "1.4.1", "majeur", "1.83"), (-1, 9, "rendered-nontext-contrast", "1.4.11", "majeur", "input")]))
 def signals_rendered(spark, sf_dir):
     parsed, styles = _signals(spark)
     return documents.union_all([signals.rendered_contrast(parsed, styles), signals.links_by_colour(parsed, styles), signals.control_boundaries(parsed, styles)])
 
 
-@query(values("page_id BIGINT, ord INTEGER, rule_id VARCHAR, sc VARCHAR, severity VARCHAR, detail VARCHAR", [(-1, 1, "rendered-contrast-pixel", "1.4.3", "majeur", "1.61")]))
+@query(values("page_id BIGINT, ord INTEGER, rule_id VARCHAR, sc VARCHAR, severity VARCHAR, detail VARCHAR", [(-1, 1, "rendered-contrast-pixel", "1.4.3", "majeur", "1.67")]))
 def signals_pixels(spark, sf_dir):
     pages = spark.createDataFrame([(-1, "<div><p>over an image</p><p>over noise</p></div>")], "page_id long, html string")
     image = {"backgroundImage": "url(x.png)"}
