@@ -49,6 +49,13 @@ def discard(df: DataFrame | None) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of Arrow batches: texts of any length travel in them, on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder; any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
