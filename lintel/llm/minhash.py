@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import WORD, boxed, row_key
 from lintel.llm.textkernels import mix, shingle_set
 from lintel.plans.components import connected_components
-from lintel.plans.storage import discard, materialize
+from lintel.plans.storage import discard, materialize, small_batches
 
 SYMBOLS, CHUNK, DISTANCE = 40, 4, 28
 _rng = np.random.default_rng(20260101)
@@ -90,7 +90,7 @@ def _bucket(batches):
         if nodes:
             keys = chunk_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS))
             row = pa.array(np.repeat(np.arange(len(nodes)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(row), batch.column("sig").take(row)], ["key", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(row)], ["key", "node"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -229,14 +229,15 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: i
 
     ``label`` is a class digest; rows link if their sets share at least ``percent`` of their union.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     facts = materialize(rows.mapInArrow(_describe(width), f"doc_id {kind}, rid long, n_shingles long, node binary, sig binary"), "signatures")
     classes = facts.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("r"))
     classes = materialize(classes.select("node", "sig", F.col("r.doc_id").alias("doc_id"), F.col("r.rid").alias("rid")), "classes")
-    buckets = classes.select("node", "sig").mapInArrow(_bucket, "key long, node binary, sig binary")
+    buckets = classes.select("node", "sig").mapInArrow(_bucket, "key long, node binary")
     several = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = buckets.join(several, "key").select("key", "node", "sig", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("pos"))
+    shared = buckets.join(several, "key").join(classes.select("node", "sig"), "node").select("key", "node", "sig", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("pos"))
     shared = materialize(shared, "buckets")
     # The texts of the classes that share a bucket with another class, once for all rounds.
     wanted = shared.select("node").distinct().join(classes.select("node", "doc_id", "rid"), "node")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.common import row_key
+from lintel.plans.storage import small_batches
 
 #: Chunks that the fast path may normalise itself: visible Latin-1 without control characters,
 #: where composition changes nothing and lower-casing is one to one.
@@ -74,7 +75,7 @@ class ChunkEncoder:
     a special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, chunks: int = 300_000, runs: int = 400_000):
+    def __init__(self, path: str, chunks: int = 200_000, runs: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -224,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     ``group_bytes`` of text make one packing group; a group's tokens are no more than its bytes and rows.
     """
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4).alias("b")).first()["b"] or 0
     groups = max(1, -(-total // group_bytes))

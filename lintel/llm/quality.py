@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.plans.storage import small_batches
+
 FEATURES = 4096
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 _LETTER = np.zeros(256, bool)
@@ -155,6 +157,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> np
 
 def train(docs: DataFrame, sample: int = 2000) -> np.ndarray:
     """The scorer's weights; ``sample`` bounds the documents it is fitted on, the votes cover all."""
+    small_batches(docs.sparkSession)
     texts = docs.select("text")
     rows = texts.mapInArrow(_vote_counts, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3^8 rows
     if not rows:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import row_key
 from lintel.llm.textkernels import mix, powers, prefix_hash, range_hash, sliding_min
-from lintel.plans.storage import materialize
+from lintel.plans.storage import materialize, small_batches
 
 GRAM = 48
 _LOW = np.uint64((1 << 28) - 1)
@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, hot: in
 
     ``hot`` bounds the stretches of one minimizer that meet in a shard; ``shard_stretches`` sizes shards.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("rid"))
     seeds = rows.mapInArrow(_seeds(length, gram), "m long, w long, rid long, at long")
