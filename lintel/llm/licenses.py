@@ -13,7 +13,8 @@ template if it holds at least ``threshold`` of the template's distinct words. Th
 Survivors are verified on their whole token sets. Only the tokens of templates can overlap, so
 blocks are represented by those. Templates are a fixed list, which bounds what is broadcast.
 
-Scale: documents are scanned, never shuffled; what moves is (row key, template) of the hits.
+Scale: documents are scanned once and never shuffled; what is kept of them are counts, the template
+tokens they hold and their candidate blocks. What moves is (row key, template) of the hits.
 
 Edge cases: a null or empty text has no words, score 0 and empty labels; texts shorter than a
 block are one block; rows that repeat id and text get equal results; a null id is kept.
@@ -66,58 +67,80 @@ def _literals(tokens: list[str]) -> Column:
     return F.array(*[F.lit(t) for t in tokens])
 
 
-def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
-    """Template tokens by document frequency over all of ``docs``, rarest first.
+class _Templates:
+    """The template list: token sets, what each must share, and the block span."""
+
+    def __init__(self, templates: dict[str, str] | None, threshold: float):
+        texts = TEMPLATES if templates is None else templates
+        self.sets = _template_sets(texts)
+        self.need = {label: math.ceil(threshold * len(tokens) - 1e-9) for label, tokens in self.sets.items()}
+        self.vocabulary = sorted({t for tokens in self.sets.values() for t in tokens})
+        self.span = max((len(texts[label].split()) for label in self.sets), default=1)
+        self.least = min(self.need.values(), default=1)
+
+
+def _facts(docs: DataFrame, t: _Templates, phrases: dict[str, str]) -> DataFrame:
+    """One scan that cuts every text in words once: counts, phrase places, the template tokens a
+    document holds, and its blocks with enough of them (length filter). Texts stay behind."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    likely = F.lit(False)
+    for word in sorted({p.split()[-1] for p in phrases}):
+        likely = likely | text.contains(word)
+    vocabulary = _literals(t.vocabulary) if t.vocabulary else F.array().cast("array<string>")
+    none = F.array().cast("array<struct<at:bigint,label:string>>")
+
+    def cut(ws: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(ws) - t.span) / F.lit(t.span)) - 1, F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("block"), F.array_intersect(F.slice(ws, i * t.span + 1, 2 * t.span), vocabulary).alias("bt")))
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"),
+            F.when(F.col("likely"), phrase_places(ws, phrases) if phrases else none).otherwise(none).alias("places"),
+            F.array_intersect(ws, vocabulary).alias("held"),
+            F.filter(blocks, lambda b: F.size(b["bt"]) >= t.least).alias("blocks"),
+        )
+
+    rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text", likely.alias("likely"))
+    facts = rows.select("doc_id", "rid", F.transform(F.array(words_of(F.col("text"))), cut)[0].alias("f"))
+    return materialize(facts.select("doc_id", "rid", "f.*"), "licence-facts")
+
+
+def token_order(facts: DataFrame, vocabulary: list[str]) -> list[str]:
+    """Template tokens by document frequency over all documents, rarest first.
 
     The result has at most one row per template token, a bound fixed by the template list.
     """
-    found = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), _literals(vocabulary))).alias("token"))
+    found = facts.select(F.explode("held").alias("token"))
     counts = {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def matching_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, rid, block, first_word, label, containment) of every block that meets a template."""
-    spark = docs.sparkSession
-    sets = _template_sets(TEMPLATES if templates is None else templates)
-    schema = "doc_id {}, rid long, block int, first_word long, label string, containment double".format(docs.schema["doc_id"].dataType.simpleString())
-    if not sets:
-        return spark.createDataFrame([], schema)
-    order = token_order(docs, sorted({t for tokens in sets.values() for t in tokens}))
-    rank = {t: i for i, t in enumerate(order)}
-    span = max(len((TEMPLATES if templates is None else templates)[label].split()) for label in sets)
-    rows, prefixes = [], set()
-    for label, tokens in sets.items():
-        ordered = sorted(tokens, key=rank.__getitem__)
-        need = math.ceil(threshold * len(ordered) - 1e-9)
-        for i, t in enumerate(ordered[: len(ordered) - need + 1]):
-            rows.append((t, label, i, len(ordered), need, ordered))
-            prefixes.add(t)
+def _matches(facts: DataFrame, t: _Templates) -> DataFrame:
+    """The set-similarity join of blocks and templates."""
+    spark = facts.sparkSession
+    order = token_order(facts, t.vocabulary)
+    rank = {token: i for i, token in enumerate(order)}
+    rows = []
+    for label, tokens in t.sets.items():
+        ordered, need = sorted(tokens, key=rank.__getitem__), t.need[label]
+        rows += [(token, label, i, len(ordered), need, ordered) for i, token in enumerate(ordered[: len(ordered) - need + 1])]
     index = spark.createDataFrame(rows, "token string, label string, ti int, tn int, need int, tokens array<string>")
-    least = min(r[4] for r in rows)
-    words = F.array(words_of(F.col("text")))
-    # Blocks of one row, with their number; only those that hold some template's prefix token are taken out.
-    prefix_set, all_tokens = _literals(sorted(prefixes, key=rank.__getitem__)), _literals(order)
-
-    def cut(ws: Column) -> Column:
-        last = F.greatest(F.ceil((F.size(ws) - span) / F.lit(span)) - 1, F.lit(0)).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("block"), F.slice(ws, i * span + 1, 2 * span).alias("ws")))
-        return F.filter(blocks, lambda b: F.arrays_overlap(b["ws"], prefix_set))
-
-    picked = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.explode(F.transform(words, cut)[0]).alias("b"))
-    picked = picked.select("doc_id", "rid", F.col("b.block").alias("block"), F.array_intersect(all_tokens, F.col("b.ws")).alias("bt"))
-    picked = picked.where(F.size("bt") >= least)
-    probes = picked.select("doc_id", "rid", "block", "bt", F.posexplode(F.slice("bt", 1, F.size("bt") - least + 1)).alias("bi", "token"))
+    blocks = facts.select("doc_id", "rid", F.explode("blocks").alias("b")).select("doc_id", "rid", F.col("b.block").alias("block"), F.array_intersect(_literals(order) if order else F.col("b.bt"), F.col("b.bt")).alias("bt"))
+    probes = blocks.select("doc_id", "rid", "block", "bt", F.posexplode(F.slice("bt", 1, F.size("bt") - t.least + 1)).alias("bi", "token"))
     # The template index is a fixed list of at most a few hundred rows.
     joined = probes.join(F.broadcast(index), "token").where(
         (F.size("bt") >= F.col("need")) & (F.col("bi") <= F.size("bt") - F.col("need")) & (F.least(F.col("tn") - F.col("ti"), F.size("bt") - F.col("bi")) >= F.col("need"))
     )
-    shared = F.size(F.array_intersect("bt", "tokens"))
-    verified = joined.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
-    hit = verified.select("doc_id", "rid", "block", (F.col("block") * span).cast("long").alias("first_word"), "label", (F.col("shared") / F.col("tn")).alias("containment"))
+    verified = joined.withColumn("shared", F.size(F.array_intersect("bt", "tokens"))).where(F.col("shared") >= F.col("need"))
+    hit = verified.select("doc_id", "rid", "block", (F.col("block") * t.span).cast("long").alias("first_word"), "label", (F.col("shared") / F.col("tn")).alias("containment"))
     return hit.groupBy("doc_id", "rid", "block", "first_word", "label").agg(F.max("containment").alias("containment"))
 
 
+def matching_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, rid, block, first_word, label, containment) of every block that meets a template."""
+    t = _Templates(templates, threshold)
+    return _matches(_facts(docs.select("doc_id", "text"), t, {}), t)
+
+
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
     """Array of struct(at, label): every place where a phrase's words stand consecutively."""
 
@@ -140,21 +163,9 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
 def license_report(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, phrases: dict[str, str] | None = None) -> DataFrame:
     """The contract's rows: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     phrases = PHRASES if phrases is None else phrases
-    docs = docs.select("doc_id", "text")
-    blocks = matching_blocks(docs, templates, threshold)
-    found = materialize(blocks.groupBy("doc_id", "rid").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best")), "licence-hits")
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    ends = sorted({p.split()[-1] for p in phrases})
-    likely = F.lit(False)
-    for word in ends:
-        likely = likely | text.contains(word)
-    none = F.array().cast("array<struct<at:bigint,label:string>>")
-    base = docs.select(
-        "doc_id",
-        row_key(F.col("doc_id"), F.col("text")).alias("rid"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))).cast("long").alias("n_words"),
-        F.when(likely, phrase_places(words_of(F.col("text")), phrases)).otherwise(none).alias("places"),
-    )
+    t = _Templates(templates, threshold)
+    base = _facts(docs.select("doc_id", "text"), t, phrases)
+    found = _matches(base, t).groupBy("doc_id", "rid").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
     base = base.select(
         "doc_id", "rid", "n_words",
         F.size("places").cast("long").alias("n_base"),
