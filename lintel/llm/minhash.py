@@ -5,7 +5,7 @@ Signatures are split in 10 chunks of 4 symbols. If two signatures differ in at m
 some chunk differs in at most one (pigeonhole); so each chunk is indexed under its 4 keys that
 leave one symbol out, and every pair within distance 19 shares a key. At similarity 0.75 exactly a
 pair misses all keys with a chance of 1.5e-6 (each of ten chunks needs two errors in four). Candidates
-whose signatures differ in more than 28 symbols are discarded (chance 2e-9 at 0.75), the others are
+whose signatures differ in more than 24 symbols are discarded (chance 1e-6 at 0.75), the others are
 verified on their full shingle sets.
 
 Texts with equal sets are one class from the start. Within a bucket no pairs are emitted all with
@@ -35,7 +35,7 @@ from lintel.llm.textkernels import mix, shingle_set
 from lintel.plans.components import connected_components
 from lintel.plans.storage import discard, materialize, small_batches
 
-SYMBOLS, CHUNK, DISTANCE = 40, 4, 28
+SYMBOLS, CHUNK, DISTANCE = 40, 4, 24
 _rng = np.random.default_rng(20260101)
 _A = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -224,7 +224,7 @@ def _rare_buckets(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return exploded.select(F.col("x.key").alias("key"), "node", "size", (F.col("once") + F.col("i")).alias("pos"))
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: int = 2) -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: int = 4) -> DataFrame:
     """(doc_id, rid, n_shingles, node, label): label names a row's component, null without words.
 
     ``label`` is a class digest; rows link if their sets share at least ``percent`` of their union.
@@ -249,7 +249,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: i
     if left is not None:
         # Crowded buckets of sets that are alike but not linked: split by their rarest shingles.
         rest = texts.join(left.select("node").distinct(), "node")
-        left = linker.settle(materialize(_rare_buckets(rest, width, percent).join(classes.select("node", "sig"), "node"), "rare"), min(1, hub_rounds), hub_rounds)
+        left = linker.settle(materialize(_rare_buckets(rest, width, percent).join(classes.select("node", "sig"), "node"), "rare"), min(3, hub_rounds), hub_rounds)
     if left is not None:
         linker.link(linker.across(left, left, "node > v_node"))
     out = facts.select("doc_id", "rid", "n_shingles", "node")
