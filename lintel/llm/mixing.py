@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import WORD, boxed
+from lintel.llm.common import WORD
 
 UNIT_BITS = 24
 SALTS = 128
@@ -60,10 +60,13 @@ def source_targets(totals: DataFrame, share: float, weights: tuple[int, ...], ca
     )
 
 
-def plan(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, cap: float = 2.0, seed: int = 20011, salts: int = SALTS) -> DataFrame:
-    """One row per row of ``docs`` (packed in ``_row``) with size, source_size, target, copies and taken."""
-    rows = boxed(
-        docs,
+def plan(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, cap: float = 2.0, seed: int = 20011, salts: int = SALTS, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs`` with size, source_size, target, copies and taken.
+
+    ``_row`` packs the row, or of it only the columns in ``keep``: nothing else is shuffled.
+    """
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("_row"),
         F.col("source").isNull().alias("s_null"),
         F.coalesce(F.col("source"), F.lit("")).alias("s_key"),
         n_words(F.col("text")).alias("size"),
@@ -91,8 +94,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:
     """The contract's rows: doc_id, size, source_size, target, taken, copies."""
-    narrow = docs.select("doc_id", "source", "text")
-    return plan(narrow, **options).select("_row.doc_id", "size", "source_size", "target", "taken", "copies")
+    return plan(docs, keep=["doc_id"], **options).select("_row.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 ORACLE = f"""
