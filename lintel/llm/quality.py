@@ -8,7 +8,7 @@ on at most ``sample`` documents (a documented bound), and scores every whole tex
 kept if its score, the probability of being clean, is at least 0.5.
 
 Scale: two scans, no shuffle of texts; what moves is one row per vote pattern and task. The
-model is fitted on the driver from the bounded sample and is 4096 weights.
+model is fitted on the driver from the bounded sample (16 MB by default) and is 2048 weights.
 
 Edge cases: a null or empty text and one without words score 0 and are rejected; repeated rows get equal
 scores; a null id is kept; an empty table gives an empty result.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lintel.plans.storage import small_batches
 
-FEATURES = 4096
+FEATURES = 2048
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -145,17 +145,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> np
     if not 0 < up < len(y):
         return np.concatenate((np.zeros(x.shape[1] - 1), [10.0 if up else -10.0]))
     weight = np.where(y > 0.5, 0.5 / up, 0.5 / (len(y) - up))
-    step = 4.0 / ((x * x).sum(axis=1).max() * weight.sum() + l2)
+    step = 4.0 / (np.einsum("ij,ij->i", x, x).max() * weight.sum() + l2)
     w = v = np.zeros(x.shape[1])
     for i in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (weight * (p - y)) + l2 * v)
+        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype), -30, 30)))
+        new = v - step * (x.T @ (weight * (p - y)).astype(x.dtype) + l2 * v)
         v = new + i / (i + 3) * (new - w)
         w = new
     return w
 
 
-def train(docs: DataFrame, sample: int = 2000) -> np.ndarray:
+def train(docs: DataFrame, sample: int = 1000) -> np.ndarray:
     """The scorer's weights; ``sample`` bounds the documents it is fitted on, the votes cover all."""
     small_batches(docs.sparkSession)
     texts = docs.select("text")
@@ -185,11 +185,11 @@ def train(docs: DataFrame, sample: int = 2000) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([clean]), pa.array([_dense(body, m).tobytes()], pa.binary())], ["h", "y", "x"])
 
     drawn = texts.select("text", F.xxhash64(F.lit(31), "text").alias("h")).mapInArrow(draw, "h long, y double, x binary").orderBy("h", "y").limit(2 * sample).collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in drawn]).astype(np.float64) if drawn else np.zeros((0, FEATURES + 2 * len(LABELLERS) + 1))
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in drawn]) if drawn else np.zeros((0, FEATURES + 2 * len(LABELLERS) + 1))
     return fit(x, np.array([r["y"] for r in drawn])) if len(x) else np.zeros(x.shape[1])
 
 
-def score(docs: DataFrame, weights: np.ndarray | None = None, sample: int = 2000) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray | None = None, sample: int = 1000) -> DataFrame:
     """doc_id, score and keep for every row of ``docs``."""
     weights = train(docs, sample) if weights is None else weights
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -208,7 +208,7 @@ def _probability(text: str | None, weights: np.ndarray) -> float:
     return 0.0 if m is None else float(1 / (1 + np.exp(-np.clip(_dense(body, m) @ weights, -30, 30))))
 
 
-def keep_good(docs: DataFrame, sample: int = 2000) -> DataFrame:
+def keep_good(docs: DataFrame, sample: int = 1000) -> DataFrame:
     """The documents that the classifier keeps, columns unchanged."""
     weights = train(docs, sample)
 
