@@ -209,12 +209,21 @@ t AS (
 """
 
 
+_AUDITS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def _audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, criteria, pages) of the whole catalogue over all pages."""
+    """(findings, criteria, pages) of the whole catalogue over all pages.
+
+    The written tables are shared by the queries of one session over the same folder.
+    """
     pages = table(spark, sf_dir, "pages")
-    parsed = materialize(elements(pages), "parsed")
-    found = materialize(rules.findings(parsed), "findings")
-    return found, verdicts.criterion_status(found, verdicts.applicable_anywhere(parsed, pages)), pages
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AUDITS:
+        parsed = materialize(elements(pages), "parsed")
+        found = materialize(rules.findings(parsed), "findings")
+        _AUDITS[key] = (found, materialize(verdicts.criterion_status(found, verdicts.applicable_anywhere(parsed, pages)), "criteria"))
+    return *_AUDITS[key], pages
 
 
 @query(f"SELECT msg_id AS rule_id, severity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY 1, 2")
