@@ -272,9 +272,15 @@ def audit_average_rate(spark, sf_dir):
 
 @query(_PAGE_STATUS + "SELECT sc, max(CASE WHEN page_id = 0 THEN replace(status, 'manual', '?') END) AS \"0\", max(CASE WHEN page_id = 1 THEN replace(status, 'manual', '?') END) AS \"1\", max(CASE WHEN page_id = 2 THEN replace(status, 'manual', '?') END) AS \"2\" FROM g GROUP BY sc")
 def audit_grid(spark, sf_dir):
+    """The printed form of three pages; ``audit_grid_pages`` has all of them."""
     return verdicts.grid(_page_status(spark, sf_dir), [0, 1, 2])
 
 
+@query(_PAGE_STATUS + "SELECT page_id, sc, replace(status, 'manual', '?') AS mark FROM g")
+def audit_grid_pages(spark, sf_dir):
+    return verdicts.marks(_page_status(spark, sf_dir))
+
+
 @query(f"SELECT sc, 'majeur' AS severity, CAST(2 * sum(n) AS BIGINT) AS points, CASE WHEN 2 * sum(n) <= 4 THEN 'S' WHEN 2 * sum(n) <= 12 THEN 'M' ELSE 'L' END AS bucket, CAST(sum(n) AS BIGINT) AS occurrences, bool_and(advisory) AS advisory FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY sc")
 def audit_units(spark, sf_dir):
     return verdicts.units(_audit(spark, sf_dir)[0])
