@@ -1,5 +1,10 @@
 """Queries and operators do the whole job, not a part of it."""
 
+import inspect
+
+import numpy as np
+
+from lintel.llm import quality
 from lintel.operators import harvest
 from lintel.plans import catalog
 from lintel.plans.storage import table
@@ -46,3 +51,13 @@ def test_harvest_reads_scripts_and_styles(spark):
     assert [c for s, c in found if s == "timers"] == ["timer|setTimeout(f, 1)"]
     assert [c for s, c in found if c.startswith("foreign")] == ["foreign|Please read"]
     assert {r["page_id"] for r in got} == {-1}
+
+
+def test_scorer_keeps_its_features_and_sample():
+    assert quality.FEATURES == 4096
+    assert all(inspect.signature(f).parameters["sample"].default == 2000 for f in (quality.train, quality.score, quality.keep_good))
+    x = quality._dense(b"some words of a text", quality.measures(b"some words of a text"))
+    cells = np.frombuffer(quality._sparse(x), quality._CELL)
+    back = np.zeros_like(x)
+    back[cells["at"]] = cells["value"]
+    assert (back == x).all() and len(x) == 4096 + 2 * len(quality.LABELLERS) + 1
