@@ -27,6 +27,7 @@ from lintel.plans.storage import small_batches
 
 FEATURES = 4096
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+_BARE = re.compile(rb"(?<![^ \t\n\x0b\x0c\r])[^ \t\n\x0b\x0c\rA-Za-z\x80-\xff]++(?![^ \t\n\x0b\x0c\r])")  # a whole word without a letter
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
@@ -62,7 +63,7 @@ def measures(text: bytes) -> np.ndarray | None:
     ascii_letters = max(1, count[65:91].sum() + count[97:123].sum())
     signs = solid - letters - count[_DIGIT].sum() - count[_CALM].sum()
     ragged = sum(1 for w in words if len(w) > 2 and w[-1] == w[-2] and not _LETTER[w[-1]])
-    bare = sum(1 for w in words if not any(map(_LETTER.__getitem__, w[:8])))
+    bare = len(_BARE.findall(text))
     lines = [x for x in text.split(b"\n") if len(x) > 20]
     distinct = len(set(words))
     expected = min(len(words), 3.0 * len(words) ** 0.7)

@@ -61,3 +61,9 @@ def test_scorer_keeps_its_features_and_sample():
     back = np.zeros_like(x)
     back[cells["at"]] = cells["value"]
     assert (back == x).all() and len(x) == 4096 + 2 * len(quality.LABELLERS) + 1
+
+
+def test_split_looks_at_whole_words():
+    at = [name for name, _, _ in quality.LABELLERS].index("split")
+    assert quality.measures(b"2024-01-15T10:00Z 1234567890abc 12345678\xc3\xa9 word")[at] == 0
+    assert quality.measures(b"2024-01-15 1234567890\n--- word")[at] == 0.75
