@@ -14,7 +14,8 @@ structure this approaches a full scan; on clustered ones it stays small.
 Scale: the trees are partitioned by (tree, prefix); crowded prefixes are salted, and counts and
 rankings add up over salts. Equal vectors are one class with their k + 1 smallest ids, and equal
 queries are answered once. A query that finds fewer than k in its partitions is answered by an
-exact scan, in blocks of queries.
+exact scan, in blocks of queries, and so is one that has fewer than ``want`` matches at the prefix by which the
+trees are partitioned, where the ascent ends.
 
 Edge cases: null, zero or non-finite vectors and vectors of another length than the commonest
 take no part, nor do rows with a null id; rows that share an id are one candidate, a query never finds its own
@@ -253,13 +254,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     stop = F.lit(depth)
     for d in range(depth, BITS + 1):
         stop = F.when(F.col(f"n{d}") >= want, d).otherwise(stop)
-    stops = materialize(summed.select("c1", "c2", stop.cast("int").alias("depth")), "depths")
+    short = F.col(f"n{depth}") < want if depth else F.lit(False)
+    stops = materialize(summed.select("c1", "c2", stop.cast("int").alias("depth"), short.alias("short")), "depths")
     full = [*slim, "lo", "vec"]
-    asking = probes.select(*full).join(stops, ["c1", "c2"])
+    asking = probes.select(*full).join(stops.where("not short").drop("short"), ["c1", "c2"])
     found = index.select(*full).withColumn("depth", F.lit(0)).unionByName(asking).groupBy(*part).applyInArrow(_search(dims, k + 1), "c1 long, c2 long, found binary")
     best = found.groupBy("c1", "c2").applyInArrow(_merge(k + 1), "q1 long, q2 long, c1 long, c2 long")
     best = materialize(best, "found")
-    # Queries that found too few are answered by an exact scan, in blocks.
+    # Queries that stop short of ``want`` at the partitions' prefix, or found too few, are answered by an exact scan, in blocks.
     total = classes.agg(F.sum(F.size("ids"))).first()[0]
     got = best.join(classes.select("c1", "c2", F.size("ids").alias("m")), ["c1", "c2"]).groupBy("q1", "q2").agg(F.sum("m").alias("m"))
     poor = queries.join(got, (F.col("c1") == F.col("q1")) & (F.col("c2") == F.col("q2")), "left").where(F.coalesce("m", F.lit(0)) < min(k + 1, total)).select("c1", "c2", "vec")

@@ -4,7 +4,7 @@ import inspect
 
 import numpy as np
 
-from lintel.llm import quality
+from lintel.llm import ann, quality
 from lintel.operators import harvest
 from lintel.plans import catalog
 from lintel.plans.storage import table
@@ -67,3 +67,23 @@ def test_split_looks_at_whole_words():
     at = [name for name, _, _ in quality.LABELLERS].index("split")
     assert quality.measures(b"2024-01-15T10:00Z 1234567890abc 12345678\xc3\xa9 word")[at] == 0
     assert quality.measures(b"2024-01-15 1234567890\n--- word")[at] == 0.75
+
+
+def test_queries_in_sparse_regions_finish_their_search(spark):
+    rng = np.random.default_rng(5)
+    centres = 6 * rng.standard_normal((3, 24))
+    x = np.concatenate([centres[rng.integers(0, 3, 2900)] + 0.3 * rng.standard_normal((2900, 24)), rng.standard_normal((60, 24))])
+    ids = [20 * i + 1 for i in range(2900)] + [20 * i for i in range(60)]
+    ids[:200] = [20 * (60 + i) for i in range(200)]
+    data = [(i, v.tolist()) for i, v in zip(ids, x.astype(np.float32), strict=True)]
+    got: dict[int, set] = {}
+    for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), sample=3).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    vectors = np.array([v for _, v in data])
+    lone = range(2900, 2960)
+    found = []
+    for n in lone:
+        s = vectors @ vectors[n]
+        s[n] = -np.inf
+        found.append(len({ids[j] for j in np.argsort(-s)[:20]} & got[ids[n]]) / 20)
+    assert np.mean(found) >= 0.75  # 0.70 where a search may end at the partitions' prefix
