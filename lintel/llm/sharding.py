@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation; the law that holds is ``bytes``.
 
 Links join documents with equal texts. Linked documents start at hashed shards and move, by
-iterated Spark joins, to the shard that holds most of their group, as far as the target's
-capacity (an even share of all bytes) allows. What moves is a cell: the members of one group
+iterated Spark joins, to the shard that holds most of their group and has room for the rest (to the one that holds
+most where none has), small cells first, as far as the target's capacity (an even share of all bytes) allows. What moves is a cell: the members of one group
 that started in one shard, so a group with a third of all rows stays spread over its cells.
 Cells that leave a shard over its share are dissolved. Unlinked documents then fill the shards to the same level: from large to small (bands by powers
 of two), each band is laid along the shards' gaps by prefix sums, and later, smaller bands
@@ -61,13 +61,16 @@ def propagate(cells: DataFrame, shards: int, cap: float, rounds: int) -> DataFra
         facts = state.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("cells")).collect()  # one row per shard
         loads = {r["shard"]: r["bytes"] for r in facts}
         salts = max(1, min(SALTS, sum(r["cells"] for r in facts) // 20000))
-        room = [r // salts for r in _room(loads, cap, shards)]
+        free = _room(loads, cap, shards)
+        room = [r // salts for r in free]
         votes = state.groupBy("g1", "g2", "shard").agg(F.sum("bytes").alias("bytes"))
-        best = F.max(F.struct("bytes", F.xxhash64("g1", "shard").alias("tie"), "shard"))
+        rest = F.sum("bytes").over(Window.partitionBy("g1", "g2")) - F.col("bytes")  # at most `shards` rows a group
+        votes = votes.withColumn("fits", rest <= _pick(free, F.col("shard")))  # a shard that has room for the rest of the group comes first
+        best = F.max(F.struct("fits", "bytes", F.xxhash64("g1", "shard").alias("tie"), "shard"))
         wanted = votes.groupBy("g1", "g2").agg(best.alias("b")).select("g1", "g2", F.col("b.shard").alias("goal"), F.col("b.bytes").alias("pull"))
         joined = state.join(wanted, ["g1", "g2"])
         moving = F.col("shard") != F.col("goal")
-        queue = Window.partitionBy(F.when(moving, F.col("goal")).otherwise(-1), F.pmod("g1", F.lit(salts)), F.when(moving, 0).otherwise(F.pmod("g2", F.lit(997)))).orderBy(F.desc("pull"), "g1", "g2", "start")
+        queue = Window.partitionBy(F.when(moving, F.col("goal")).otherwise(-1), F.pmod("g1", F.lit(salts)), F.when(moving, 0).otherwise(F.pmod("g2", F.lit(997)))).orderBy("bytes", F.desc("pull"), "g1", "g2", "start")  # a cell that does not fit holds up no smaller one
         asked = F.sum("bytes").over(queue.rowsBetween(Window.unboundedPreceding, 0))
         take = moving & (F.col("asked") <= _pick(room, F.col("goal")))
         after = joined.withColumn("asked", asked).select(

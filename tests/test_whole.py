@@ -4,7 +4,7 @@ import inspect
 
 import numpy as np
 
-from lintel.llm import ann, quality
+from lintel.llm import ann, quality, sharding
 from lintel.operators import harvest
 from lintel.plans import catalog
 from lintel.plans.storage import table
@@ -87,3 +87,13 @@ def test_queries_in_sparse_regions_finish_their_search(spark):
         s[n] = -np.inf
         found.append(len({ids[j] for j in np.argsort(-s)[:20]} & got[ids[n]]) / 20)
     assert np.mean(found) >= 0.75  # 0.70 where a search may end at the partitions' prefix
+
+
+def test_large_cells_hold_up_no_smaller_ones(spark):
+    # Shard 0 has room for 100: the hot group's cell of 500 wants it too, and pulls harder.
+    rows = [(1, 1, 0, 9, 900), (1, 1, 1, 5, 500)]
+    rows += [(g, g, s, 1, b) for g in range(2, 7) for s, b in ((0, 12), (1, 10))]
+    cells = spark.createDataFrame(rows, "g1 long, g2 long, start int, n long, bytes long")
+    got = sharding.propagate(cells, 2, 1060.0, 6).collect()
+    for g in range(2, 7):
+        assert len({r["shard"] for r in got if r["g1"] == g}) == 1
