@@ -5,14 +5,14 @@ Signatures are split in 10 chunks of 4 symbols. If two signatures differ in at m
 some chunk differs in at most one (pigeonhole); so each chunk is indexed under its 4 keys that
 leave one symbol out, and every pair within distance 19 shares a key. At similarity 0.75 exactly a
 pair misses all keys with a chance of 1.5e-6 (each of ten chunks needs two errors in four). Candidates
-whose signatures differ in more than 24 symbols are discarded (chance 1e-6 at 0.75), the others are
+whose signatures differ in more than 28 symbols are discarded (chance 4e-10 at 0.75), the others are
 verified on their full shingle sets.
 
 Texts with equal sets are one class from the start. Within a bucket no pairs are emitted all with
 all: members are compared with one hub per round and only with members of other components. Texts
 that still share a key across components are re-bucketed by an exact prefix filter (their rarest
 shingles), which parts texts that only have a common passage; hubs settle these buckets too, and what
-is left in them is compared in full, so no link that could join two components is lost. Components are found by distributed stars; nothing but
+is left in them is compared in full, so no link that could join two components is lost but by the two chances above. Components are found by distributed stars; nothing but
 counts reaches the driver.
 
 Edge cases: null or empty texts have an empty set, link with nothing and form their own component;
@@ -35,7 +35,7 @@ from lintel.llm.textkernels import mix, shingle_set
 from lintel.plans.components import connected_components
 from lintel.plans.storage import discard, materialize, small_batches
 
-SYMBOLS, CHUNK, DISTANCE = 40, 4, 24
+SYMBOLS, CHUNK, DISTANCE = 40, 4, 28
 _rng = np.random.default_rng(20260101)
 _A = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)

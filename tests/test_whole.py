@@ -4,7 +4,7 @@ import inspect
 
 import numpy as np
 
-from lintel.llm import ann, quality, sharding
+from lintel.llm import ann, minhash, quality, sharding
 from lintel.operators import harvest
 from lintel.plans import catalog
 from lintel.plans.storage import table
@@ -97,3 +97,11 @@ def test_large_cells_hold_up_no_smaller_ones(spark):
     got = sharding.propagate(cells, 2, 1060.0, 6).collect()
     for g in range(2, 7):
         assert len({r["shard"] for r in got if r["g1"] == g}) == 1
+
+
+def test_distance_filter_is_wide(spark):
+    sigs = np.zeros((2, minhash.SYMBOLS), np.uint16)
+    sigs[1, :28] = 1
+    rows = [(7, bytes([i]), bytearray(s.tobytes()), bytes([i]), 0, 0) for i, s in enumerate(sigs)]
+    members = spark.createDataFrame(rows, "key long, node binary, sig binary, label binary, size long, pos long")
+    assert minhash._Linker(None, 5, 75).across(members, members, "node > v_node").count() == 1
