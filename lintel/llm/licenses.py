@@ -23,6 +23,7 @@ block are one block; rows that repeat id and text get equal results; a null id i
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from lintel.plans.storage import materialize
 #: Fixed value: the word pattern of the contract.
 TOKEN = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
+_CUT = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -57,9 +60,7 @@ def words_of(text: Column) -> Column:
 
 
 def _template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
-    import re
-
-    found = {label: list(dict.fromkeys(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()))) for label, text in templates.items()}
+    found = {label: list(dict.fromkeys(re.findall(_CUT, text.lower()))) for label, text in templates.items()}
     return {label: tokens for label, tokens in found.items() if tokens}
 
 
@@ -75,7 +76,7 @@ class _Templates:
         self.sets = _template_sets(texts)
         self.need = {label: math.ceil(threshold * len(tokens) - 1e-9) for label, tokens in self.sets.items()}
         self.vocabulary = sorted({t for tokens in self.sets.values() for t in tokens})
-        self.span = max((len(texts[label].split()) for label in self.sets), default=1)
+        self.span = max((len(re.findall(_CUT, texts[label].lower())) for label in self.sets), default=1)  # in words as TOKEN cuts them
         self.least = min(self.need.values(), default=1)
 
 

@@ -4,7 +4,7 @@ import inspect
 
 import numpy as np
 
-from lintel.llm import ann, minhash, quality, sharding
+from lintel.llm import ann, licenses, minhash, quality, sharding
 from lintel.operators import harvest
 from lintel.plans import catalog
 from lintel.plans.storage import table
@@ -105,3 +105,13 @@ def test_distance_filter_is_wide(spark):
     rows = [(7, bytes([i]), bytearray(s.tobytes()), bytes([i]), 0, 0) for i, s in enumerate(sigs)]
     members = spark.createDataFrame(rows, "key long, node binary, sig binary, label binary, size long, pos long")
     assert minhash._Linker(None, 5, 75).across(members, members, "node > v_node").count() == 1
+
+
+def test_blocks_hold_the_longest_template_whole(spark):
+    words = licenses.re.findall(licenses._CUT, licenses.TEMPLATES["apache-2.0-notice"])
+    distinct = list(dict.fromkeys(words))
+    assert len(words) == 61 and len(distinct) == 43 and words.count(words[0]) == words.count(words[-1]) == 1
+    gone = [w for w in distinct if w not in (words[0], words[-1])][:8]
+    text = " ".join(["zz"] * 58 + ["zz" if w in gone else w for w in words] + ["zz"] * 200)
+    got = licenses.matching_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert "apache-2.0-notice" in {r["label"] for r in got}
