@@ -1,29 +1,34 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-Each text becomes its set of 5-word shingles. A signature keeps 16 bits of each of 40 min-hashes.
-Signatures are split in 10 chunks of 4 symbols. If two signatures differ in at most 19 symbols,
-some chunk differs in at most one (pigeonhole); so each chunk is indexed under its 4 keys that
-leave one symbol out, and every pair within distance 19 shares a key. At similarity 0.75 exactly a
-pair misses all keys with a chance of 1.5e-6 (each of ten chunks needs two errors in four). Candidates
-whose signatures differ in more than 28 symbols are discarded (chance 4e-10 at 0.75), the others are
-verified on their full shingle sets.
-
-Texts with equal sets are one class from the start. Within a bucket no pairs are emitted all with
-all: members are compared with one hub per round and only with members of other components. Texts
-that still share a key across components are re-bucketed by an exact prefix filter (their rarest
-shingles), which parts texts that only have a common passage; hubs settle these buckets too, and what
-is left in them is compared in full, so no link that could join two components is lost but by the two chances above. Components are found by distributed stars; nothing but
-counts reaches the driver.
+Each text becomes its set of 5-word shingles. A signature keeps 16 bits of each of 45 min-hashes.
+Signatures are split in 9 chunks of 5 symbols. If two signatures differ in at most 26 symbols,
+some chunk differs in at most two (pigeonhole: 9 x 3 - 1); so each chunk is indexed under its 10 keys
+that leave two symbols out, and every pair within distance 26 shares a key. That distance is the
+threshold of the join: the index guarantees all pairs up to it, and candidates beyond it are
+discarded. A pair of similarity 0.75 exactly lies beyond it with a chance of 6.8e-7, a more
+similar one with a smaller chance. Candidates are verified on their full shingle sets.
+
+Texts with equal sets are one class from the start. Within a bucket members are compared with one
+hub per round and only with members of other components. Texts that still share a key across
+components are re-bucketed by a prefix filter (their rarest shingles), which parts texts that
+only have a common passage; hubs settle these buckets too. What is then still mixed is compared in
+blocks of at most ``tile`` members, so no task holds a whole bucket, and only pairs within the distance
+leave a block. Components are found by distributed stars; nothing but counts reaches the driver.
+
+Sets are sets of 64-bit hashes of words and shingles (polynomial modulo 2^64 per word), classes
+have 128-bit digests; texts written to collide words of 1,024 bytes and more could be mistaken.
 
 Edge cases: null or empty texts have an empty set, link with nothing and form their own component;
-repeated rows are copies of each other; a null id never is a component's id unless all ids in it
-are null.
+an empty table gives an empty result; repeated rows are copies of each other; a null id never is a
+component's id unless all ids in it are null; a very long text is hashed whole, in slices; columns
+besides doc_id and text are not read, or pass through ``keep_one`` packed, so that none can clash.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +40,16 @@ from lintel.llm.textkernels import mix, shingle_set
 from lintel.plans.components import connected_components
 from lintel.plans.storage import discard, materialize, small_batches
 
-SYMBOLS, CHUNK, DISTANCE = 40, 4, 28
+SYMBOLS, CHUNK, ERRORS = 45, 5, 2
+#: What the index guarantees: with one difference more, every chunk may hold ERRORS + 1.
+DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
 _rng = np.random.default_rng(20260101)
 _A = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """16 bits of each of the 40 minima over a non-empty set."""
+    """16 bits of each of the minima over a non-empty set."""
     least = np.full(SYMBOLS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096]
@@ -51,13 +58,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """(rows, 40) bucket keys: chunk number, symbol left out, the chunk's other three symbols."""
+    """(rows, 90) bucket keys: the chunk, which of its symbols are left out, and its other three symbols."""
     parts = signatures.reshape(len(signatures), -1, CHUNK).astype(np.int64)
     keys = []
     for c in range(parts.shape[1]):
-        for j in range(CHUNK):
-            a, b, d = (parts[:, c, i] for i in range(CHUNK) if i != j)
-            keys.append((np.int64(c * CHUNK + j) << 48) | (a << 32) | (b << 16) | d)
+        for a, b, d in combinations(range(CHUNK), CHUNK - ERRORS):
+            keys.append((np.int64(len(keys)) << 48) | (parts[:, c, a] << 32) | (parts[:, c, b] << 16) | parts[:, c, d])
     return np.stack(keys, axis=1)
 
 
@@ -130,14 +136,39 @@ def _distance(a: str, b: str):
     return SYMBOLS - sum(same[1:], same[0])
 
 
+def _blocks(percent: int):
+    """Pairs of two blocks of a bucket, across components, that distance, size and position allow."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        size, pos, block = (group.column(c).to_numpy() for c in ("size", "pos", "block"))
+        label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+        ti, tj = group.column("ti")[0].as_py(), group.column("tj")[0].as_py()
+        left, right = np.flatnonzero(block == ti), np.flatnonzero(block == tj)
+        u, v = [], []
+        for i in left:
+            other = right[right > i] if ti == tj else right
+            other = other[label[other] != label[i]]
+            need = -(-(size[other] + size[i]) * percent // (100 + percent))
+            other = other[(size[other] == 0) | (np.minimum(size[other] - pos[other], size[i] - pos[i]) >= need)]
+            near = other[(sig[other] != sig[i]).sum(axis=1) <= DISTANCE]
+            u.append(np.full(len(near), i))
+            v.append(near)
+        node = group.column("node").combine_chunks()
+        at = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)]
+        return pa.table({"u": node.take(at[0]), "v": node.take(at[1])})
+
+    return run
+
+
 _BUCKET = ("key", "node", "sig", "size", "pos")
 
 
 class _Linker:
     """Finds links between classes of equal sets, bucket by bucket, and keeps the components."""
 
-    def __init__(self, texts: DataFrame, width: int, percent: int):
-        self.texts, self.width, self.percent = texts, width, percent
+    def __init__(self, texts: DataFrame, width: int, percent: int, tile: int):
+        self.texts, self.width, self.percent, self.tile = texts, width, percent, tile
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.tried: DataFrame | None = None
@@ -155,18 +186,26 @@ class _Linker:
         several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         return rows.join(several, "key").select(*_BUCKET, "label")
 
-    def across(self, members: DataFrame, others: DataFrame, order: str) -> DataFrame:
-        """Pairs within a bucket and across components, but for those that the signatures' distance, or
-        size and position, rule out.
+    def across(self, members: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Pairs of a bucket's members with its hub and across components, but for those that the signatures'
+        distance, or size and position, rule out.
 
         With the first shared shingle at positions i and j no more than min(size - i) can be shared.
         """
-        other = others.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "sig", "label", "size", "pos")])
+        other = hubs.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "sig", "label", "size", "pos")])
         need = F.ceil((F.col("size") + F.col("v_size")) * self.percent / F.lit(100 + self.percent))
         open_ = (F.col("size") == 0) | (F.least(F.col("size") - F.col("pos"), F.col("v_size") - F.col("v_pos")) >= need)
-        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & F.expr(order) & open_ & (_distance("sig", "v_sig") <= DISTANCE))
+        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & open_ & (_distance("sig", "v_sig") <= DISTANCE))
         return near.select(F.col("node").alias("u"), F.col("v_node").alias("v"))
 
+    def rest(self, members: DataFrame) -> DataFrame:
+        """The same pairs among all members of the buckets that hubs left mixed, block by block."""
+        counts = materialize(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / self.tile).cast("int").alias("blocks")), "counts")
+        placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select(*_BUCKET, "label", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
+        return placed.groupBy("key", "ti", "tj").applyInArrow(_blocks(self.percent), "u binary, v binary")
+
     def link(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if self.tried is not None:
@@ -189,7 +228,7 @@ class _Linker:
                 return None
             pick = F.max_by(F.struct("node", "sig", "label", "size", "pos"), F.xxhash64(F.lit(r), "node")).alias("h")
             hubs = left.groupBy("key").agg(pick).select("key", "h.*")
-            self.link(self.across(left, hubs, "true"))
+            self.link(self.across(left, hubs))
             older, left = left, materialize(self.mixed(left), "open")
             discard(older)
         return left if left.limit(1).count() else None
@@ -224,7 +263,7 @@ def _rare_buckets(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return exploded.select(F.col("x.key").alias("key"), "node", "size", (F.col("once") + F.col("i")).alias("pos"))
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: int = 4) -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: int = 4, tile: int = 2048) -> DataFrame:
     """(doc_id, rid, n_shingles, node, label): label names a row's component, null without words.
 
     ``label`` is a class digest; rows link if their sets share at least ``percent`` of their union.
@@ -244,14 +283,14 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, hub_rounds: i
     keyed = rows.select(F.col("doc_id").alias("id"), F.col("rid").alias("key"), "text")
     found = keyed.join(wanted, (F.col("key") == F.col("rid")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
     texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    linker = _Linker(texts, width, percent)
+    linker = _Linker(texts, width, percent, tile)
     left = linker.settle(shared, hub_rounds, 0)
     if left is not None:
         # Crowded buckets of sets that are alike but not linked: split by their rarest shingles.
         rest = texts.join(left.select("node").distinct(), "node")
         left = linker.settle(materialize(_rare_buckets(rest, width, percent).join(classes.select("node", "sig"), "node"), "rare"), min(3, hub_rounds), hub_rounds)
     if left is not None:
-        linker.link(linker.across(left, left, "node > v_node"))
+        linker.link(linker.rest(left))
     out = facts.select("doc_id", "rid", "n_shingles", "node")
     if linker.labels is None:
         return out.withColumn("label", F.col("node"))
@@ -271,11 +310,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Texts without words all stay."""
     found = components(docs, **options).where(F.col("label").isNotNull())
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("r"))
-    keepers = first.select(F.col("r.rid").alias("rid")).distinct()
+    keepers = first.select(F.col("r.doc_id").alias("id"), F.col("r.rid").alias("key")).distinct()
     wordy = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    rows = boxed(docs, row_key(F.col("doc_id"), F.col("text")).alias("rid"), wordy.alias("wordy"))
-    kept = rows.where("wordy").join(keepers, "rid").groupBy("rid").agg(F.first("_row").alias("_row")).select("_row.*")
-    return kept.unionByName(rows.where("not wordy").select("_row.*"))
+    rows = boxed(docs, F.col("doc_id").alias("_id"), row_key(F.col("doc_id"), F.col("text")).alias("_rid"), wordy.alias("_wordy"))
+    kept = rows.where("_wordy").join(keepers, (F.col("_rid") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")))
+    kept = kept.groupBy("_id", "_rid").agg(F.first("_row").alias("_row")).select("_row.*")
+    return kept.unionByName(rows.where("not _wordy").select("_row.*"))
 
 
 ORACLE = """

@@ -49,6 +49,18 @@ def test_mixing_reaches_targets(docs, empty):
     assert rows(mixing.mixing_report(empty)) == []
 
 
+def test_mixing_does_not_depend_on_storage(spark, docs):
+    """Any order of the input, ids that share all low digits, and null ids: the same copies, evenly spread."""
+    data = [(i * 128 if i % 5 else None, f"word{i} " * (1 + i % 3), "s") for i in range(600)] + [(0, "a b", "t"), (None, "c d", "t"), (0, "e f", "t")]
+    made = [spark.createDataFrame(d, "doc_id long, text string, source string").repartition(n) for d, n in ((data, 1), (data[::-1], 7))]
+    a, b = (Counter((r["doc_id"], r["text"]) for r in mixing.mix(m).collect()) for m in made)
+    assert a == b
+    assert same(*(rows(mixing.mixing_report(m)) for m in made))
+    assert same(rows(mixing.mixing_report(made[0], cell_rows=1)), rows(mixing.mixing_report(made[0])))
+    heads = Counter(r[0][:1] for r in rows(made[0].select(mixing.order_digest())))
+    assert len(heads) == 16 and max(heads.values()) < 3 * 600 / 16
+
+
 def test_mix_emits_whole_rows(docs, empty):
     out = mixing.mix(docs)
     assert out.columns == docs.columns
@@ -96,6 +108,7 @@ def test_near_duplicates(docs, empty):
     assert len({r[2] for r in want}) < len(want) - 5
     assert same(rows(minhash.near_duplicates(docs)), want)
     assert same(rows(minhash.near_duplicates(docs, hub_rounds=0)), want)
+    assert same(rows(minhash.near_duplicates(docs, hub_rounds=0, tile=3)), want)
     assert rows(minhash.near_duplicates(empty)) == []
 
 
@@ -116,16 +129,26 @@ def test_shingle_sets_are_exact():
         assert len(shingle_set(r[1])) == len(shingles(r[1]))
 
 
-def test_signature_index_guarantees_the_distance():
+@pytest.mark.parametrize("distance", [19, minhash.DISTANCE])
+def test_signature_index_guarantees_the_distance(distance):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, minhash.SYMBOLS).astype(np.uint16)
     for _ in range(300):
         b = a.copy()
-        at = rng.choice(minhash.SYMBOLS, 19, replace=False)
+        at = rng.choice(minhash.SYMBOLS, distance, replace=False)
         b[at] ^= np.uint16(1)
         assert (minhash.chunk_keys(a[None]) == minhash.chunk_keys(b[None])).any()
 
 
+def test_signature_guarantee_is_tight():
+    """One difference more, spread evenly over the chunks, can escape the index."""
+    a = np.arange(minhash.SYMBOLS, dtype=np.uint16)
+    b = a.copy()
+    b.reshape(-1, minhash.CHUNK)[:, : minhash.ERRORS + 1] ^= np.uint16(1 << 15)
+    assert (a != b).sum() == minhash.DISTANCE + 1
+    assert not (minhash.chunk_keys(a[None]) == minhash.chunk_keys(b[None])).any()
+
+
 def test_substrings(docs, empty):
     want = brute_repeats(ROWS)
     assert sum(r[2] for r in want) > 2000
@@ -240,29 +263,50 @@ def test_licenses(spark, docs, empty):
     assert rows(licenses.license_report(empty)) == []
 
 
+def brute_passages(texts, threshold):
+    """Every document and template with the most that L consecutive words hold, by sliding over all words."""
+    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())
+    span = max(len(cut(x)) for x in licenses.TEMPLATES.values())
+    out = {}
+    for i, text in texts:
+        ws = cut(text)
+        for label, template in licenses.TEMPLATES.items():
+            tokens = set(cut(template))
+            best = max((len(tokens & set(ws[s : s + span])) for s in range(len(ws))), default=0)
+            if best >= np.ceil(threshold * len(tokens) - 1e-9):
+                out[i, label] = best / len(tokens)
+    return out
+
+
 def test_license_join_is_exact(spark):
     rnd = np.random.default_rng(2)
     sets = licenses._template_sets(licenses.TEMPLATES)
-    span = max(len(x.split()) for x in licenses.TEMPLATES.values())
     texts = []
     for i in range(60):
         tokens = list(sets.values())[i % len(sets)]
         keep = [w for w in tokens if rnd.random() < 0.6 + 0.4 * rnd.random()]
         rnd.shuffle(keep)
         texts.append((i, " ".join(["zzz"] * int(rnd.integers(0, 200)) + keep + ["qqq"] * int(rnd.integers(0, 200)))))
-    got = {(r["doc_id"], r["block"], r["label"]): r["containment"] for r in licenses.matching_blocks(spark.createDataFrame(texts, "doc_id long, text string"), threshold=0.7).collect()}
-    want = {}
-    for i, text in texts:
-        ws = text.split()
-        for b in range(max(0, -(-(len(ws) - span) // span) - 1) + 1):
-            block = set(ws[b * span : (b + 2) * span])
-            for label, tokens in sets.items():
-                c = len(block & set(tokens)) / len(tokens)
-                if len(block & set(tokens)) >= np.ceil(0.7 * len(tokens) - 1e-9):
-                    want[i, b, label] = c
+    texts += [(100 + i, " ".join(rnd.choice([w for t in sets.values() for w in t], 400))) for i in range(10)]
+    found = licenses.matching_passages(spark.createDataFrame(texts, "doc_id long, text string"), threshold=0.7).collect()
+    got, want = {(r["doc_id"], r["label"]): r["containment"] for r in found}, brute_passages(texts, 0.7)
     assert got == want and len(want) > 10
 
 
+def test_license_passages_at_every_offset(spark):
+    """A passage exactly at the threshold, first and last word of the longest template included, wherever it starts."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", licenses.TEMPLATES["apache-2.0-notice"])
+    distinct, drop = list(dict.fromkeys(words)), set()
+    assert len(words) == licenses.longest(licenses.TEMPLATES)
+    for w in distinct:
+        if len(distinct) - len(drop) > np.ceil(0.8 * len(distinct) - 1e-9) and w not in (words[0], words[-1]) and words.count(w) == 1:
+            drop.add(w)
+    passage = " ".join("zzz" if w in drop else w for w in words)
+    texts = [(i, " ".join(["qqq"] * i + [passage] + ["qqq"] * 150)) for i in range(130)]
+    got = {r["doc_id"]: r["first_word"] for r in licenses.matching_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect() if r["label"] == "apache-2.0-notice"}
+    assert got == {i: i for i in range(130)}
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, node int, codes string"
 
 
