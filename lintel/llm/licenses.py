@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks against licence templates.
 
-A text's words are cut into overlapping blocks (window 2L, stride L, L the longest template),
-so every passage of up to L consecutive words lies whole in some block. A block is reported for a
-template if it holds at least ``threshold`` of the template's distinct words. The join is exact:
+A document meets a template if some L consecutive words of it (L the words of the longest template,
+cut as the contract cuts them) hold at least ``threshold`` of the template's distinct words. Texts
+are cut in overlapping blocks (2L words, stride L), so every L consecutive words lie whole in
+some block, and blocks are joined with templates. The join is exact:
 
 * tokens are ordered by their global document frequency over all documents, rarest first;
 * prefix filter: a template can only be met by a block that shares one of the template's first
@@ -10,14 +11,17 @@ template if it holds at least ``threshold`` of the template's distinct words. Th
 * length filter: the block's template tokens must be at least ``need`` many;
 * positional filter: from the first shared token on, both sides must still hold ``need`` tokens.
 
-Survivors are verified on their whole token sets. Only the tokens of templates can overlap, so
-blocks are represented by those. Templates are a fixed list, which bounds what is broadcast.
+Survivors are verified word by word: L consecutive words of the block must hold the tokens. Only the
+tokens of templates can overlap, so blocks are joined by those. Templates are a fixed list, which
+bounds what is broadcast.
 
 Scale: documents are scanned once and never shuffled; what is kept of them are counts, the template
 tokens they hold and their candidate blocks. What moves is (row key, template) of the hits.
 
 Edge cases: a null or empty text has no words, score 0 and empty labels; texts shorter than a
-block are one block; rows that repeat id and text get equal results; a null id is kept.
+block are one block; a very long text is as many blocks as it needs; rows that repeat id and text
+get equal results; a null id is kept; columns besides doc_id and text are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,6 +67,13 @@ def _template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
     return {label: tokens for label, tokens in found.items() if tokens}
 
 
+def longest(templates: dict[str, str]) -> int:
+    """The words of the longest template, by the contract's pattern."""
+    import re
+
+    return max((len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())) for text in templates.values()), default=1) or 1
+
+
 def _literals(tokens: list[str]) -> Column:
     return F.array(*[F.lit(t) for t in tokens])
 
@@ -75,7 +86,7 @@ class _Templates:
         self.sets = _template_sets(texts)
         self.need = {label: math.ceil(threshold * len(tokens) - 1e-9) for label, tokens in self.sets.items()}
         self.vocabulary = sorted({t for tokens in self.sets.values() for t in tokens})
-        self.span = max((len(texts[label].split()) for label in self.sets), default=1)
+        self.span = longest(texts)
         self.least = min(self.need.values(), default=1)
 
 
@@ -96,7 +107,7 @@ def _facts(docs: DataFrame, t: _Templates, phrases: dict[str, str]) -> DataFrame
             F.size(ws).cast("long").alias("n_words"),
             F.when(F.col("likely"), phrase_places(ws, phrases) if phrases else none).otherwise(none).alias("places"),
             F.array_intersect(ws, vocabulary).alias("held"),
-            F.filter(blocks, lambda b: F.size(b["bt"]) >= t.least).alias("blocks"),
+            F.transform(F.filter(blocks, lambda b: F.size(b["bt"]) >= t.least), lambda b: F.struct(b["block"], b["bt"], F.slice(ws, b["block"] * t.span + 1, 2 * t.span).alias("words"))).alias("blocks"),
         )
 
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text", likely.alias("likely"))
@@ -124,19 +135,25 @@ def _matches(facts: DataFrame, t: _Templates) -> DataFrame:
         ordered, need = sorted(tokens, key=rank.__getitem__), t.need[label]
         rows += [(token, label, i, len(ordered), need, ordered) for i, token in enumerate(ordered[: len(ordered) - need + 1])]
     index = spark.createDataFrame(rows, "token string, label string, ti int, tn int, need int, tokens array<string>")
-    blocks = facts.select("doc_id", "rid", F.explode("blocks").alias("b")).select("doc_id", "rid", F.col("b.block").alias("block"), F.array_intersect(_literals(order) if order else F.col("b.bt"), F.col("b.bt")).alias("bt"))
-    probes = blocks.select("doc_id", "rid", "block", "bt", F.posexplode(F.slice("bt", 1, F.size("bt") - t.least + 1)).alias("bi", "token"))
+    blocks = facts.select("doc_id", "rid", F.explode("blocks").alias("b"))
+    blocks = blocks.select("doc_id", "rid", F.col("b.block").alias("block"), F.col("b.words").alias("words"), F.array_intersect(_literals(order) if order else F.col("b.bt"), F.col("b.bt")).alias("bt"))
+    probes = blocks.select("doc_id", "rid", "block", "words", "bt", F.posexplode(F.slice("bt", 1, F.size("bt") - t.least + 1)).alias("bi", "token"))
     # The template index is a fixed list of at most a few hundred rows.
     joined = probes.join(F.broadcast(index), "token").where(
         (F.size("bt") >= F.col("need")) & (F.col("bi") <= F.size("bt") - F.col("need")) & (F.least(F.col("tn") - F.col("ti"), F.size("bt") - F.col("bi")) >= F.col("need"))
     )
-    verified = joined.withColumn("shared", F.size(F.array_intersect("bt", "tokens"))).where(F.col("shared") >= F.col("need"))
-    hit = verified.select("doc_id", "rid", "block", (F.col("block") * t.span).cast("long").alias("first_word"), "label", (F.col("shared") / F.col("tn")).alias("containment"))
-    return hit.groupBy("doc_id", "rid", "block", "first_word", "label").agg(F.max("containment").alias("containment"))
-
-
-def matching_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, rid, block, first_word, label, containment) of every block that meets a template."""
+    met = joined.where(F.size(F.array_intersect("bt", "tokens")) >= F.col("need")).dropDuplicates(["doc_id", "rid", "block", "label"])
+    # Consecutive words that start with a token of the template: others hold no more.
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("tokens", F.col("words")[i]))
+    passages = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice("words", i + 1, t.span), "tokens")).alias("shared"), (-i).alias("at")))
+    best = met.withColumn("best", F.array_max(passages)).where(F.col("best.shared") >= F.col("need"))
+    hit = best.select("doc_id", "rid", "label", (F.col("best.shared") / F.col("tn")).alias("containment"), (F.col("block") * t.span - F.col("best.at")).cast("long").alias("first_word"))
+    top = F.max(F.struct("containment", (-F.col("first_word")).alias("at"))).alias("top")
+    return hit.groupBy("doc_id", "rid", "label").agg(top).select("doc_id", "rid", "label", (-F.col("top.at")).alias("first_word"), "top.containment")
+
+
+def matching_passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, rid, label, first_word, containment) of every document that meets a template, with its first best passage."""
     t = _Templates(templates, threshold)
     return _matches(_facts(docs.select("doc_id", "text"), t, {}), t)
 
@@ -185,9 +202,9 @@ def license_report(docs: DataFrame, templates: dict[str, str] | None = None, thr
 
 
 def oracle(threshold: float = 0.8) -> str:
-    """The same answer by comparing every block with every template directly."""
+    """The same answer by sliding over every word of every document."""
     sets = _template_sets(TEMPLATES)
-    span = max(len(TEMPLATES[label].split()) for label in sets)
+    span = longest(TEMPLATES)
     pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     values = ", ".join(f"('{label}', [{', '.join(repr(t) for t in tokens)}], {math.ceil(threshold * len(tokens) - 1e-9)})" for label, tokens in sets.items())
     places = " UNION ALL ".join(
@@ -203,12 +220,12 @@ e AS (SELECT rid, ws, unnest(generate_series(1, len(ws))) AS i FROM d WHERE list
 p AS ({places}),
 b AS (SELECT rid, count(*) AS n, min(pl) AS f, max(pl) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, list_distinct(list(label)) AS named FROM p GROUP BY rid),
 t(label, tokens, need) AS (VALUES {values}),
-k AS (
-  SELECT rid, list_distinct(ws[s * {span} + 1 : s * {span} + {2 * span}]) AS block
-  FROM (SELECT rid, ws, unnest(generate_series(0, CAST(greatest(ceil((len(ws) - {span}) / {span}.0) - 1, 0) AS BIGINT))) AS s FROM d)),
-h AS (
-  SELECT rid, label, max(len(list_intersect(block, tokens)) / CAST(len(tokens) AS DOUBLE)) AS c
-  FROM k JOIN t ON len(list_intersect(block, tokens)) >= need GROUP BY rid, label),
+v AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+x AS (SELECT label, need, len(tokens) AS n, unnest(tokens) AS w FROM t),
+g AS (
+  SELECT rid, label, need, n, count(DISTINCT v.w) OVER (PARTITION BY rid, label ORDER BY i RANGE BETWEEN CURRENT ROW AND {span - 1} FOLLOWING) AS held
+  FROM v JOIN x ON v.w = x.w),
+h AS (SELECT rid, label, max(held / CAST(n AS DOUBLE)) AS c FROM g WHERE held >= need GROUP BY rid, label),
 m AS (SELECT rid, max(c) AS best, list(label) AS met FROM h GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base,
        CAST(b.f AS BIGINT) AS first_word, CAST(b.l AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels,
