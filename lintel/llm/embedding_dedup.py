@@ -7,17 +7,25 @@ chance below ``miss``. Inside a bucket the cosines are exact (double precision).
 counted only in the first table where its codes agree, so links are counted without emitting
 pairs; per bucket only a spanning forest goes on to the distributed components.
 
+Scale: what is shuffled per class and table is its key, its copies and the vector as it was stored;
+the codes of the other tables are computed again where a bucket is compared. They come from whole
+numbers (vector and planes rounded to fixed steps), so they are equal wherever they are computed.
+Buckets of about a thousand keep the tables few: 143 at 10^9 classes and cosine 0.93. Buckets without
+a partner drop out before vectors move. Small buckets share tasks' groups.
+
 Skew: buckets over ``tile`` rows are cut into blocks and handled as pairs of blocks, so memory is
 bounded; each row's counts add up over them.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, vectors of
 another length than the commonest, and rows without label link with nothing and are their own
-component; repeated rows link with each other; an empty table gives an empty result.
+component; repeated rows link with each other; ties in ids take the smallest; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,65 +38,91 @@ from lintel.plans.components import connected_components
 from lintel.plans.storage import materialize
 
 
-def table_shape(classes: int, cosine: float, miss: float) -> tuple[int, int]:
-    """(bits, tables) for a corpus of so many distinct vectors."""
-    bits = max(8, math.ceil(math.log2(max(2, classes) / 64)))
+def table_shape(classes: int, cosine: float, miss: float, crowd: int = 1024) -> tuple[int, int]:
+    """(bits, tables) for a corpus of so many distinct vectors, ``crowd`` of them to a bucket."""
+    bits = max(8, math.ceil(math.log2(max(2, classes) / crowd)))
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
+@lru_cache(maxsize=2)
+def _whole_planes(dims: int, bits: int, tables: int, seed: int) -> np.ndarray:
+    return np.rint(planes(dims, bits * tables, seed) * 2**14)
+
+
+def sign_codes(x: np.ndarray, bits: int, tables: int, seed: int, first: int | None = None) -> np.ndarray:
+    """(rows, tables) codes, or those of the ``first`` tables. Sums of whole numbers below 2^53 are exact in any order of summation."""
+    scale = 2 ** math.floor(30 - math.log2(x.shape[1]) / 2)
+    steps = np.rint(x * (scale / np.abs(x).max(axis=1))[:, None])
+    some = tables if first is None else first
+    return pack((steps @ _whole_planes(x.shape[1], bits, tables, seed)[:, : bits * some] >= 0).reshape(len(x), some, bits)).astype(np.int64)
+
+
 def _index(dims: int, bits: int, tables: int, seed: int):
     def run(batches):
-        w = planes(dims, bits * tables, seed)
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            codes = pack((matrix(batch.column("vec"), dims) @ w >= 0).reshape(n, tables, bits)).astype(np.int64)
-            row = pa.array(np.repeat(np.arange(n), tables))
-            held = pa.array([codes[i].tobytes() for i in range(n)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(row) for c in ("node", "label", "copies", "vec")] + [held.take(row), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.ravel())],
-                ["node", "label", "copies", "vec", "codes", "tab", "code"],
-            )
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                codes = sign_codes(matrix(some.column("vec"), dims), bits, tables, seed)
+                row = pa.array(np.repeat(np.arange(len(codes)), tables))
+                yield pa.RecordBatch.from_arrays([some.column("node").take(row), some.column("label").take(row), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(codes))), pa.array(codes.ravel())], ["node", "label", "tab", "code"])
 
     return run
 
 
-def _compare(dims: int, cosine: float):
+def _bucket_links(x: np.ndarray, codes: np.ndarray, tab: int, copies: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float):
+    """(copies linked, root) per row of one bucket: left rows against right rows, each pair in its first table only."""
+    n = len(x)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    for at in range(0, len(left), 512):
+        rows = left[at : at + 512]
+        a, b = np.nonzero(x[rows] @ x[right].T >= cosine)
+        a, b = rows[a], right[b]
+        if left is right:
+            a, b = a[a < b], b[a < b]
+        fresh = np.ones(len(a), bool)
+        for t in range(tab):
+            fresh &= codes[a, t] != codes[b, t]
+        a, b = a[fresh], b[fresh]
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        while len(a):
+            lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = lo < hi
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, hi[apart], lo[apart])
+            while (root != root[root]).any():
+                root = root[root]
+    return links, root
+
+
+def _compare(dims: int, bits: int, tables: int, seed: int, cosine: float):
+    """All buckets of a group, one after the other."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        n = group.num_rows
-        x = matrix(group.column("vec").chunk(0), dims)
-        x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.int64).reshape(n, -1)
-        copies = group.column("copies").to_numpy()
-        side = group.column("block").to_numpy()
-        tab, ti, tj = (group.column(c)[0].as_py() for c in ("tab", "ti", "tj"))
-        left, right = np.flatnonzero(side == ti), np.flatnonzero(side == tj)
-        links, root = np.zeros(n, np.int64), np.arange(n)
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            a, b = np.nonzero(x[rows] @ x[right].T >= cosine)
-            a, b = rows[a], right[b]
-            if ti == tj:
-                a, b = a[a < b], b[a < b]
-            fresh = np.ones(len(a), bool)
-            for t in range(tab):
-                fresh &= codes[a, t] != codes[b, t]
-            a, b = a[fresh], b[fresh]
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            while len(a):
-                lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                apart = lo < hi
-                if not apart.any():
-                    break
-                a, b = a[apart], b[apart]
-                np.minimum.at(root, hi[apart], lo[apart])
-                while (root != root[root]).any():
-                    root = root[root]
-        hit = np.flatnonzero((links > 0) | (root != np.arange(n)))
+        raw = matrix(group.column("vec").chunk(0), dims)
+        label, tab, code, ti, tj, block, copies = (group.column(c).to_numpy() for c in ("label", "tab", "code", "ti", "tj", "block", "copies"))
+        order = np.lexsort((tj, ti, code, tab, label))
+        same = np.ones(len(order), bool)
+        for c in (label, tab, code, ti, tj):
+            same[1:] &= c[order][1:] == c[order][:-1]
+        same[:1] = False
+        edge = np.append(np.flatnonzero(~same), len(order))
+        links, root = np.zeros(len(order), np.int64), np.arange(len(order))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            at = order[lo:hi]
+            x = raw[at] / np.sqrt((raw[at] * raw[at]).sum(axis=1))[:, None]
+            codes = sign_codes(raw[at], bits, tables, seed, int(tab[at[0]]))
+            left = np.flatnonzero(block[at] == ti[at[0]])
+            right = left if ti[at[0]] == tj[at[0]] else np.flatnonzero(block[at] == tj[at[0]])
+            links[at], found = _bucket_links(x, codes, int(tab[at[0]]), copies[at], left, right, cosine)
+            root[at] = at[found]
+        hit = np.flatnonzero((links > 0) | (root != np.arange(len(order))))
         node = group.column("node").chunk(0)
         return pa.table({"node": node.take(pa.array(hit)), "links": pa.array(links[hit]), "root": node.take(pa.array(root[hit]))})
 
@@ -105,19 +139,24 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, miss: float = 1e-5, t
     node = F.when(takes_part, F.unhex(F.format_string("%016x%016x%016x", "label", h1, h2)))
     rows = rows.select("vec_id", "label", node.alias("node"), "embedding")
     classes = rows.where("node is not null").groupBy("node", "label").agg(F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("vec"))
-    classes = materialize(classes.select("node", "label", "copies", F.col("vec").cast("array<double>").alias("vec")), "vector-classes")
+    classes = materialize(classes.select("node", "label", "copies", "vec"), "vector-classes")
     chosen, tables = table_shape(classes.count(), cosine, miss)
     if bits:
         chosen, tables = bits, math.ceil(math.log(miss) / math.log(1 - (1 - math.acos(cosine) / math.pi) ** bits))
     bucket = ["label", "tab", "code"]
-    schema = "node binary, label long, copies long, vec array<double>, codes binary, tab int, code long"
-    index = classes.mapInArrow(_index(dims, chosen, tables, seed), schema)
-    crowd = index.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    index = classes.select("node", "label", "vec").mapInArrow(_index(dims, chosen, tables, seed), "node binary, label long, tab int, code long")
+    index = materialize(index, "codes")
+    crowd = materialize(index.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "crowds")
     placed = index.join(crowd, bucket).withColumn("blocks", F.ceil(F.col("n") / tile).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other")).drop("other", "blocks", "n")
-    found = placed.groupBy(*bucket, "ti", "tj").applyInArrow(_compare(dims, cosine), "node binary, links long, root binary")
+    placed = placed.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other"))
+    # Buckets of one table and block pair share groups of about ``tile`` rows, large ones have their own.
+    bins = F.greatest(F.lit(1), F.floor(F.lit(classes.count()) / tile)).cast("int")
+    small = F.when(F.col("n") < tile / 4, F.pmod(F.xxhash64(*bucket), bins)).otherwise(F.xxhash64(*bucket))
+    placed = placed.select("node", *bucket, "block", "ti", "tj", small.alias("bin"), (F.col("n") < tile / 4).alias("shared"))
+    placed = placed.join(classes.select("node", "copies", "vec"), "node")
+    found = placed.groupBy("tab", "shared", "bin", "ti", "tj").applyInArrow(_compare(dims, chosen, tables, seed, cosine), "node binary, links long, root binary")
     found = materialize(found, "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
