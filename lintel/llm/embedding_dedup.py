@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import two_hashes
 from lintel.llm.vectors import common_length, matrix, pack, planes, usable
-from lintel.plans.components import connected_components
+from lintel.llm.components import connected_components
 from lintel.plans.storage import materialize
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import WORD, boxed, row_key
 from lintel.llm.textkernels import mix, shingle_set
-from lintel.plans.components import connected_components
+from lintel.llm.components import connected_components
 from lintel.plans.storage import discard, materialize, small_batches
 
 SYMBOLS, CHUNK, ERRORS = 45, 5, 2
@@ -137,26 +137,35 @@ def _distance(a: str, b: str):
 
 
 def _blocks(percent: int):
-    """Pairs of two blocks of a bucket, across components, that distance, size and position allow."""
+    """Pairs of two blocks of a bucket, across components, that distance, size and position allow; bucket by bucket."""
 
     def run(group: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        size, pos, block = (group.column(c).to_numpy() for c in ("size", "pos", "block"))
+        key, size, pos, block, ti, tj = (group.column(c).to_numpy() for c in ("key", "size", "pos", "block", "ti", "tj"))
         label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
-        ti, tj = group.column("ti")[0].as_py(), group.column("tj")[0].as_py()
-        left, right = np.flatnonzero(block == ti), np.flatnonzero(block == tj)
-        u, v = [], []
-        for i in left:
-            other = right[right > i] if ti == tj else right
-            other = other[label[other] != label[i]]
-            need = -(-(size[other] + size[i]) * percent // (100 + percent))
-            other = other[(size[other] == 0) | (np.minimum(size[other] - pos[other], size[i] - pos[i]) >= need)]
-            near = other[(sig[other] != sig[i]).sum(axis=1) <= DISTANCE]
-            u.append(np.full(len(near), i))
-            v.append(near)
+        order = np.lexsort((tj, ti, key))
+        fresh = (key[order][1:] != key[order][:-1]) | (ti[order][1:] != ti[order][:-1]) | (tj[order][1:] != tj[order][:-1])
+        edge = np.concatenate(([0], np.flatnonzero(fresh) + 1, [len(order)]))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            at = order[lo:hi]
+            left, right = at[block[at] == ti[at[0]]], at[block[at] == tj[at[0]]]
+            step = max(1, (1 << 20) // max(1, len(right)))
+            for some in (left[i : i + step] for i in range(0, len(left), step)):
+                may = label[some][:, None] != label[right][None]
+                if ti[at[0]] == tj[at[0]]:
+                    may &= some[:, None] < right[None]
+                need = -(-(size[some][:, None] + size[right][None]) * percent // (100 + percent))
+                may &= (size[some][:, None] == 0) | (np.minimum((size[some] - pos[some])[:, None], (size[right] - pos[right])[None]) >= need)
+                x, y = np.nonzero(may)
+                x, y = some[x], right[y]
+                for part in range(0, len(x), 1 << 16):
+                    a, b = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
+                    near = (sig[a] != sig[b]).sum(axis=1) <= DISTANCE
+                    u.append(a[near])
+                    v.append(b[near])
         node = group.column("node").combine_chunks()
-        at = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)]
-        return pa.table({"u": node.take(at[0]), "v": node.take(at[1])})
+        return pa.table({"u": node.take(pa.array(np.concatenate(u))), "v": node.take(pa.array(np.concatenate(v)))})
 
     return run
 
@@ -200,11 +209,16 @@ class _Linker:
 
     def rest(self, members: DataFrame) -> DataFrame:
         """The same pairs among all members of the buckets that hubs left mixed, block by block."""
-        counts = materialize(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / self.tile).cast("int").alias("blocks")), "counts")
-        placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        counts = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
+        bins = F.lit(max(1, counts.agg(F.sum("n")).first()[0] // self.tile))
+        placed = members.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / self.tile).cast("int"))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.select(*_BUCKET, "label", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
-        return placed.groupBy("key", "ti", "tj").applyInArrow(_blocks(self.percent), "u binary, v binary")
+        # Small buckets share groups of about ``tile`` rows, large ones have a group for each pair of blocks.
+        small = F.col("n") < self.tile / 4
+        place = [small.alias("shared"), F.when(small, F.pmod(F.xxhash64("key"), bins)).otherwise(F.col("key")).alias("bin")]
+        placed = placed.select(*_BUCKET, "label", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), *place)
+        return placed.groupBy("shared", "bin", "ti", "tj").applyInArrow(_blocks(self.percent), "u binary, v binary")
 
     def link(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
