@@ -11,15 +11,18 @@ exactly against all rows, which gives for every prefix length the candidates and
 true neighbours found; the smallest ``want`` that reaches ``aim`` is taken. On vectors without
 structure this approaches a full scan; on clustered ones it stays small.
 
-Scale: the trees are partitioned by (tree, prefix); crowded prefixes are salted, and counts and
-rankings add up over salts. Equal vectors are one class with their k + 1 smallest ids, and equal
+Scale: the trees are partitioned by (tree, prefix); prefixes that no query has drop out, crowded ones
+are salted, many queries at one prefix are dealt in blocks, and counts and rankings add up over salts and
+blocks, so a task holds at most ``crowd`` vectors and ``asks`` queries. Vectors move as they were
+stored, once per tree in which a query asks for their prefix. Equal vectors are one class with their k + 1 smallest ids, and equal
 queries are answered once. A query that finds fewer than k in its partitions is answered by an
 exact scan, in blocks of queries, and so is one that has fewer than ``want`` matches at the prefix by which the
 trees are partitioned, where the ascent ends.
 
 Edge cases: null, zero or non-finite vectors and vectors of another length than the commonest
 take no part, nor do rows with a null id; rows that share an id are one candidate, a query never finds its own
-id; with fewer than k candidates all are returned; an empty table gives an empty result.
+id; ties go to the smaller id; with fewer than k candidates all are returned; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,7 +140,7 @@ def calibrate(classes: DataFrame, queries: DataFrame, forest: _Forest, k: int, s
 
 def _keys(forest: _Forest, depth: int, query: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
             n = batch.num_rows
             if not n:
                 continue
@@ -184,7 +187,7 @@ def _search(dims: int, k: int):
         found = {}
         for i in range(len(at)):
             found.setdefault((left[i], right[i]), []).append(i)
-        out = [b""] * len(at)
+        tops, asker = [np.zeros(0, _TOP)], [np.zeros(0, np.int64)]
         for (a, b), who in found.items():
             if a == b:
                 continue
@@ -192,39 +195,31 @@ def _search(dims: int, k: int):
             for part in range(0, len(who), 64):
                 some = at[who[part : part + 64]]
                 scores = x[some] @ x[near].T
-                for i, s in zip(who[part : part + 64], scores, strict=True):
-                    top = _best(s, c1[near], c2[near], lo[near], k)
-                    out[i] = top.tobytes()
-        only = pa.array(asks)
-        return pa.table({"c1": group.column("c1").filter(only), "c2": group.column("c2").filter(only), "found": pa.array(out, pa.binary())})
+                for i, s in zip(some, scores, strict=True):
+                    tops.append(_best(s, c1[near], c2[near], lo[near], k))
+                    asker.append(np.full(len(tops[-1]), i))
+        top, by = np.concatenate(tops), pa.array(np.concatenate(asker))
+        return pa.table({"q1": group.column("c1").take(by), "q2": group.column("c2").take(by), **{c: pa.array(np.ascontiguousarray(top[c])) for c in _TOP.names}})
 
     return run
 
 
-def _merge(k: int):
-    def run(group: pa.Table) -> pa.Table:
-        every = np.concatenate([np.frombuffer(b, _TOP) for b in group.column("found").to_pylist()])
-        every = every[np.lexsort((-every["score"], every["c2"], every["c1"]))]
-        first = np.ones(len(every), bool)
-        first[1:] = (every["c1"][1:] != every["c1"][:-1]) | (every["c2"][1:] != every["c2"][:-1])
-        every = every[first]
-        every = every[np.lexsort((every["lo"], -every["score"]))[:k]]
-        n = len(every)
-        q1, q2 = group.column("c1")[0].as_py(), group.column("c2")[0].as_py()
-        return pa.table({"q1": pa.array([q1] * n, pa.int64()), "q2": pa.array([q2] * n, pa.int64()), "c1": every["c1"], "c2": every["c2"]})
-
-    return run
+def top_classes(found: DataFrame, k: int) -> DataFrame:
+    """(q1, q2, c1, c2): the k best of each query over all trees, salts and blocks."""
+    once = found.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"), F.min("lo").alias("lo"))
+    order = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "lo"))
+    return once.withColumn("rn", order).where(F.col("rn") <= k).select("q1", "q2", "c1", "c2")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100, aim: float = 0.95, seed: int = 97, crowd: int = 65536) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100, aim: float = 0.95, seed: int = 97, crowd: int = 65536, asks: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by ``every``, their k nearest.
 
-    ``sample`` bounds the queries of the calibration, ``crowd`` the vectors of one partition of a tree.
+    ``sample`` bounds the queries of the calibration, ``crowd`` the vectors and ``asks`` the queries of one task.
     """
     h1, h2 = two_hashes(F.col("embedding"))
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding", h1.alias("c1"), h2.alias("c2"))
     dims = common_length(rows, "embedding")
-    rows = rows.where(F.size("embedding") == dims).withColumn("vec", F.col("embedding").cast("array<double>")).drop("embedding")
+    rows = rows.where(F.size("embedding") == dims).withColumnRenamed("embedding", "vec")
     first = F.dense_rank().over(Window.partitionBy("c1", "c2").orderBy("vec_id"))
     classes = rows.withColumn("n", first).where(F.col("n") <= k + 1)
     classes = classes.groupBy("c1", "c2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vec").alias("vec"))
@@ -232,7 +227,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     ids = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("c1").alias("q1"), F.col("c2").alias("q2")).distinct()
     asked = ids.select(F.col("q1").alias("c1"), F.col("q2").alias("c2")).distinct()
     queries = materialize(asked.join(classes, ["c1", "c2"]), "queries")
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     stats = classes.agg(F.max(square).alias("m")).first()
     empty = "query_id {0}, rank int, vec_id {0}, score double".format(vectors.schema["vec_id"].dataType.simpleString())
     if stats["m"] is None or not queries.limit(1).count():
@@ -240,14 +235,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     forest = _Forest(dims, float(np.sqrt(stats["m"])), seed)
     want, depth = calibrate(classes, queries, forest, k, sample, aim)
     depth = min(depth, 12)  # at most 10 x 4096 partitions' sizes are looked up
-    keyed = "c1 long, c2 long, lo long, vec array<double>, tree int, prefix long, code long"
+    held = classes.schema["vec"].dataType.simpleString()
+    keyed = f"c1 long, c2 long, lo long, vec {held}, tree int, prefix long, code long"
     index = classes.select("c1", "c2", "lo", "vec").mapInArrow(_keys(forest, depth, False), keyed)
     probes = queries.select("c1", "c2", "lo", "vec").mapInArrow(_keys(forest, depth, True), keyed)
-    salts = index.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("salts"))
-    salts = materialize(salts, "salts")  # at most 10 x 4096 rows
-    index = index.join(F.broadcast(salts), ["tree", "prefix"]).withColumn("salt", F.pmod("c2", F.col("salts")).cast("int")).drop("salts").withColumn("ask", F.lit(False))
-    probes = probes.join(F.broadcast(salts), ["tree", "prefix"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumn("ask", F.lit(True))
-    part = ["tree", "prefix", "salt"]
+    sized = lambda rows, most, name: rows.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    parts = sized(index, crowd, "salts").join(sized(probes, asks, "blocks"), ["tree", "prefix"])
+    parts = F.broadcast(materialize(parts, "parts"))  # at most 10 x 4096 rows
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = index.join(parts, ["tree", "prefix"]).withColumn("salt", F.pmod("c2", F.col("salts")).cast("int")).withColumn("block", each("blocks")).withColumn("ask", F.lit(False))
+    probes = probes.join(parts, ["tree", "prefix"]).withColumn("block", F.pmod("c1", F.col("blocks")).cast("int")).withColumn("salt", each("salts")).withColumn("ask", F.lit(True))
+    part = ["tree", "prefix", "salt", "block"]
     slim = [*part, "code", "c1", "c2", "ask"]
     counted = index.select(*slim).unionByName(probes.select(*slim)).groupBy(*part).applyInArrow(_count(depth), "c1 long, c2 long, n array<bigint>")
     summed = counted.groupBy("c1", "c2").agg(*[F.sum(F.col("n")[d]).alias(f"n{d}") for d in range(depth, BITS + 1)])
@@ -258,9 +256,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     stops = materialize(summed.select("c1", "c2", stop.cast("int").alias("depth"), short.alias("short")), "depths")
     full = [*slim, "lo", "vec"]
     asking = probes.select(*full).join(stops.where("not short").drop("short"), ["c1", "c2"])
-    found = index.select(*full).withColumn("depth", F.lit(0)).unionByName(asking).groupBy(*part).applyInArrow(_search(dims, k + 1), "c1 long, c2 long, found binary")
-    best = found.groupBy("c1", "c2").applyInArrow(_merge(k + 1), "q1 long, q2 long, c1 long, c2 long")
-    best = materialize(best, "found")
+    found = index.select(*full).withColumn("depth", F.lit(0)).unionByName(asking).groupBy(*part).applyInArrow(_search(dims, k + 1), "q1 long, q2 long, c1 long, c2 long, lo long, score double")
+    best = materialize(top_classes(found, k + 1), "found")
     # Queries that stop short of ``want`` at the partitions' prefix, or found too few, are answered by an exact scan, in blocks.
     total = classes.agg(F.sum(F.size("ids"))).first()[0]
     got = best.join(classes.select("c1", "c2", F.size("ids").alias("m")), ["c1", "c2"]).groupBy("q1", "q2").agg(F.sum("m").alias("m"))
@@ -277,7 +274,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     # Final scores in one fixed order of summation, ids in place of classes.
     own = queries.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("vec").alias("qv"))
     scored = best.join(classes.select("c1", "c2", "ids", "vec"), ["c1", "c2"]).join(own, ["q1", "q2"])
-    dot = F.aggregate(F.zip_with("vec", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with("vec", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     named = scored.select("q1", "q2", dot.alias("score"), F.explode("ids").alias("vec_id"))
     few = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
     named = named.withColumn("rn", few).where(F.col("rn") <= k + 1).drop("rn")
