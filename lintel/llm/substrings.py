@@ -3,8 +3,8 @@
 1. Seeds. In every 200-byte window the k-gram of smallest hash (its minimizer) is found; windows with
    the same minimizer are neighbours and make one stretch of bytes. Equal windows have equal
    minimizers, so only stretches that share a minimizer can hold a common window. Stretches that
-   are equal as a whole repeat all their windows and need no further look; minimizers seen in one
-   stretch only cannot repeat.
+   are equal as a whole are copies: they collapse to one, repeat all their windows and need no further
+   look; minimizers seen in one stretch only cannot repeat.
 2. Intervals. What is left (stretches that share a minimizer but differ) is gathered by minimizer.
    A suffix array of the distinct stretches gives the Burrows-Wheeler transform; breadth-first
    backward extension from the empty string derives the boundaries between suffixes by
@@ -14,10 +14,14 @@
    their windows, counted with partial aggregation. It is the exact way for what the bound leaves.
 
 Scale: linear in the input; seeds are about one row per 77 bytes, texts move twice, keyed by row.
-Hashes of bytes are 64-bit per minimizer and 64-bit per stretch, so both must collide at once.
+Hashes of bytes are 64-bit per minimizer and 64-bit per stretch, so both must collide at once; rows
+are known by 128 bits. The places of a hot minimizer are one side of a join of two written or shuffled
+tables, which adaptive execution splits.
 
 Edge cases: a null text is empty; texts under the minimum length keep all bytes; rows that repeat id and
-text are two places; a null id is kept; an empty table gives an empty result.
+text are two places; a null id is kept; a very long text is seeded in slices of 4 MiB, so that memory
+and positions stay bounded; columns besides doc_id and text are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import row_key
+from lintel.llm.common import wide_row_key
 from lintel.llm.textkernels import mix, powers, prefix_hash, range_hash, sliding_min
 from lintel.plans.storage import materialize, small_batches
 
@@ -37,14 +41,10 @@ GRAM = 48
 _LOW = np.uint64((1 << 28) - 1)
 
 
-def stretches(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(minimizer hash, stretch hash, first window, last window, minimizer position) per stretch.
-
-    Every window start lies in exactly one stretch; a stretch's bytes are [first, last + length).
-    """
+def _stretches(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     a = np.frombuffer(text, np.uint8)
     if len(a) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     h = prefix_hash(a)
     n = len(a) - gram + 1
     grams = mix((h[gram:] - h[:-gram]) * powers(len(h))[1][:n])
@@ -57,6 +57,19 @@ def stretches(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return grams[where].view(np.int64), whole.view(np.int64), first, last, where
 
 
+def stretches(text: bytes, length: int, gram: int, part: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """(minimizer hash, stretch hash, first window, last window, minimizer position) per stretch.
+
+    Every window start lies in exactly one stretch; a stretch's bytes are [first, last + length).
+    ``part`` bounds the windows that are looked at together.
+    """
+    found = [_stretches(text[at : at + part + length - 1], length, gram) for at in range(0, max(1, len(text) - length + 1), part)]
+    if len(found) == 1:
+        return found[0]
+    m, w, *places = zip(*found, strict=True)
+    return np.concatenate(m), np.concatenate(w), *(np.concatenate([x + i * part for i, x in enumerate(c)]) for c in places)
+
+
 def _seeds(length: int, gram: int):
     def run(batches):
         for batch in batches:
@@ -255,10 +268,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, hot: in
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("rid"))
-    seeds = rows.mapInArrow(_seeds(length, gram), "m long, w long, rid long, at long")
+    rows = docs.select("doc_id", "text", wide_row_key(F.col("doc_id"), F.col("text")).alias("rid"))
+    seeds = rows.mapInArrow(_seeds(length, gram), "m long, w long, rid binary, at long")
     # Minimizers at two places or more, and whether their stretches differ.
     often = seeds.groupBy("m").agg(F.count(F.lit(1)).alias("places"), F.min("w").alias("lo"), F.max("w").alias("hi")).where("places > 1")
+    often = materialize(often, "often")
     live = materialize(seeds.join(often.select("m", (F.col("lo") != F.col("hi")).alias("mixed")), "m"), "stretches")
     kinds = live.groupBy("m", "w", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("one"))
     kinds = materialize(kinds, "kinds")
@@ -267,12 +281,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, hot: in
     asked = kinds.where("mixed").join(held, "m").select(F.col("one.rid").alias("key"), F.struct("m", "n", "held", "one.at").alias("a"))
     asked = asked.groupBy("key").agg(F.collect_list("a").alias("asked"))
     cut = rows.join(asked, F.col("rid") == F.col("key")).select("rid", "text", "asked")
-    bodies = cut.mapInArrow(_bodies(length), "rid long, m long, n long, held long, at long, body binary")
+    bodies = cut.mapInArrow(_bodies(length), "rid binary, m long, n long, held long, at long, body binary")
     bodies = materialize(bodies.dropDuplicates(["rid", "m", "at"]), "bodies")
     cold = bodies.where(F.col("held") <= hot)
     shards = max(1, -(-cold.count() // shard_stretches))
-    by_interval = cold.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(length), "rid long, at long")
-    windows = bodies.where(F.col("held") > hot).mapInArrow(_windows(length), "rid long, n long, at long, x long, y long")
+    by_interval = cold.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(length), "rid binary, at long")
+    windows = bodies.where(F.col("held") > hot).mapInArrow(_windows(length), "rid binary, n long, at long, x long, y long")
     repeats = windows.groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y")
     by_hash = windows.where("n = 1").join(repeats, ["x", "y"]).select("rid", "at")
     found = whole.unionByName(by_interval).unionByName(by_hash)
