@@ -10,16 +10,22 @@ correct what larger ones left uneven. Bands of fewer than ``few`` documents a sh
 to the emptiest shard.
 
 Scale: texts are reduced to size, CRC and a 128-bit hash in the first scan. Group votes are
-partial aggregates; prefix sums and slots have two levels (per salt, then inside a salt). The
-driver holds only numbers per shard and per (band, salt), bounded by the parameters.
+partial aggregates; prefix sums and slots have two levels (per salt, then inside a salt), and the
+number of salts follows from the rows (``salt_rows`` rows to each). The driver holds only numbers per
+shard and per band; what is kept per (band, salt) or (shard, salt) is a small table.
+
+Shards depend on the rows alone: a document's hash is that of its id, text and, among equal rows, its
+number, so reruns agree however the rows are stored.
 
 Edge cases: a null text has no bytes and equals the empty text; null ids and repeated rows are
-documents like others; an empty table gives an empty result; a document larger than an even
-share fills a shard alone.
+documents like others; ties in size and bytes go by hash; an empty table gives an empty result; a document
+larger than an even share (a very long text) fills a shard alone, and a group larger than a share is
+spread over several; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +37,11 @@ from lintel.plans.storage import discard, materialize
 SALTS = 64
 
 
+def salts_for(rows: int, salt_rows: int) -> int:
+    """A power of two: enough that a salt of all rows holds about ``salt_rows``, SALTS at least."""
+    return max(SALTS, 1 << max(0, math.ceil(math.log2(max(1, rows / salt_rows)))))
+
+
 def _facts(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     g1, g2 = two_hashes(text)
@@ -40,9 +51,10 @@ def _facts(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         g1.alias("g1"),
         g2.alias("g2"),
-        F.xxhash64(F.lit(15485863), F.col("doc_id"), text, F.monotonically_increasing_id()).alias("h"),
     )
-    # Written once, so that the row numbers that tell repeated rows apart never change.
+    # Equal rows are told apart by a number; any numbering of them gives the same result.
+    number = F.row_number().over(Window.partitionBy("doc_id", "g1", "g2").orderBy("size"))
+    facts = facts.withColumn("h", F.xxhash64(F.lit(15485863), F.col("doc_id"), F.col("g1"), F.col("g2"), number))
     return materialize(facts.withColumn("start", F.pmod("h", F.lit(shards)).cast("int")), "facts")
 
 
@@ -60,7 +72,7 @@ def propagate(cells: DataFrame, shards: int, cap: float, rounds: int) -> DataFra
     for _ in range(rounds):
         facts = state.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("cells")).collect()  # one row per shard
         loads = {r["shard"]: r["bytes"] for r in facts}
-        salts = max(1, min(SALTS, sum(r["cells"] for r in facts) // 20000))
+        salts = max(1, sum(r["cells"] for r in facts) // 20000)
         free = _room(loads, cap, shards)
         room = [r // salts for r in free]
         votes = state.groupBy("g1", "g2", "shard").agg(F.sum("bytes").alias("bytes"))
@@ -122,9 +134,10 @@ def _owner(pos: Column, starts: list[int], owners: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in owners]), F.size(F.filter(bounds, lambda b: b <= pos)))
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, few: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, few: int = 64, salt_rows: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     facts = _facts(docs.select("doc_id", "text"), shards)
+    salts = salts_for(facts.count(), salt_rows)
     group = ["g1", "g2"]
     cells = facts.groupBy(*group, "start").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     cells = materialize(cells.withColumn("members", F.sum("n").over(Window.partitionBy(*group))), "cells")  # at most `shards` rows a group
@@ -132,15 +145,15 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, few: int = 64) ->
     state = propagate(cells.where("members > 1").select(*group, "start", "n", "bytes"), shards, total / shards, rounds)
     band = F.when(F.col("fixed").isNull(), F.length(F.bin("size")))
     rows = facts.join(state.select(*group, "start", F.col("shard").alias("fixed")), [*group, "start"], "left")
-    rows = rows.select("doc_id", "size", "text_crc32", "fixed", band.alias("band"), F.pmod("h", F.lit(SALTS)).cast("int").alias("salt"), "h")
+    rows = rows.select("doc_id", "size", "text_crc32", "fixed", band.alias("band"), F.pmod("h", F.lit(salts)).cast("int").alias("salt"), "h")
     inside = Window.partitionBy("band", "salt", F.when(F.col("band").isNull(), F.pmod("h", F.lit(4096)))).orderBy("size", "h").rowsBetween(Window.unboundedPreceding, -1)
-    rows = materialize(rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))), "rows")
-    sums = rows.where("band is not null").groupBy("band", "salt").agg(F.sum("size").alias("bytes")).collect()  # at most 32 bands x SALTS
-    offsets: dict[int, list[int]] = {}
-    amount: dict[int, int] = {}
-    for r in sorted(sums, key=lambda r: (r["band"], r["salt"])):
-        offsets.setdefault(r["band"], [0] * SALTS)[r["salt"]] = amount.get(r["band"], 0)
-        amount[r["band"]] = amount.get(r["band"], 0) + r["bytes"]
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    sums = materialize(rows.where("band is not null").groupBy("band", "salt").agg(F.sum("size").alias("bytes")), "sums")
+    lower = Window.partitionBy("band").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("band", "salt", F.coalesce(F.sum("bytes").over(lower), F.lit(0)).alias("offset"))  # at most 32 bands x salts rows
+    rows = rows.join(offsets, ["band", "salt"], "left")
+    rows = materialize(rows.withColumn("pos", F.col("inner") + F.col("offset")).drop("inner", "offset"), "rows")
+    amount = {r["band"]: r["bytes"] for r in sums.groupBy("band").agg(F.sum("bytes").alias("bytes")).collect()}  # at most 32 bands
     loads = [0] * shards
     for r in rows.where("fixed is not null").groupBy("fixed").agg(F.sum("size").alias("bytes")).collect():
         loads[r["fixed"]] = r["bytes"]
@@ -155,8 +168,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, few: int = 64) ->
                 dealt.append((r["h"], s))
             continue
         starts, owners = _cuts(_gaps(loads, amount[b]))
-        pos = F.col("inner") + _pick(offsets[b], F.col("salt"))
-        chosen.append((b, _owner(pos, starts, owners)))
+        chosen.append((b, _owner(F.col("pos"), starts, owners)))
         for r in rows.where(F.col("band") == b).groupBy(chosen[-1][1].alias("s")).agg(F.sum("size").alias("bytes")).collect():
             loads[r["s"]] += r["bytes"]
     filled = reduce(lambda rest, x: F.when(F.col("band") == x[0], x[1]).otherwise(rest), chosen, F.lit(None).cast("int"))
@@ -166,6 +178,6 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, few: int = 64) ->
     counts = placed.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("h", "doc_id"))
-    slots = placed.withColumn("k", number).join(F.broadcast(counts), ["shard", "salt"])  # at most shards x SALTS rows
+    number = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("h", "doc_id", "size"))
+    slots = placed.withColumn("k", number).join(counts, ["shard", "salt"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("k") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
