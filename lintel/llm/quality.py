@@ -4,14 +4,17 @@ Heuristic labellers each vote junk, clean or nothing on every document. Expectat
 over the counts of vote patterns (all documents; at most 3^labellers patterns) estimates each
 labeller's accuracies and the share of junk; a pattern's posterior is the label of its documents. A
 logistic scorer on hashed byte n-grams and the vote features is then fitted to the posteriors,
-on at most 2 x ``sample`` documents (a documented bound), and scores every whole text. A document is
+on at most 2 x ``sample`` distinct texts (a documented bound), and scores every whole text. A document is
 kept if its score, the probability of being clean, is at least 0.5.
 
 Scale: two scans, no shuffle of texts; what moves is one row per vote pattern and task. The
 model is fitted on the driver from the bounded sample (66 MB by default, sent as sparse rows) and is 4096 weights.
 
 Edge cases: a null or empty text and one without words score 0 and are rejected; repeated rows get equal
-scores; a null id is kept; an empty table gives an empty result.
+scores, count as often as they stand in the votes and once in the sample, however many they are; a null id
+is kept; a very long text is measured whole; ties in score do not arise in a decision at a fixed limit; other
+columns are not read, or pass through ``keep_good`` by position and cannot clash; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -183,12 +186,14 @@ def train(docs: DataFrame, sample: int = 2000) -> np.ndarray:
     rates = [min(1.0, sample / 2 / max(1.0, n)) for n in (counts.sum() - junk, junk)]
 
     def draw(batches):
+        seen: set[int] = set()  # of this task; at most the drawn share of its texts
         for batch in batches:
             for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True):
                 body = (text or "").encode("utf-8", "surrogatepass")
                 low = (h & 0xFFFFFFFF) / 2**32
-                if low >= max(rates):
+                if low >= max(rates) or h in seen:
                     continue
+                seen.add(h)
                 m = measures(body)
                 if m is None:
                     continue
@@ -196,7 +201,8 @@ def train(docs: DataFrame, sample: int = 2000) -> np.ndarray:
                 if low < rates[int(clean < 0.5)]:
                     yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([clean]), pa.array([_sparse(_dense(body, m))], pa.binary())], ["h", "y", "x"])
 
-    drawn = texts.select("text", F.xxhash64(F.lit(31), "text").alias("h")).mapInArrow(draw, "h long, y double, x binary").orderBy("h", "y").limit(2 * sample).collect()
+    drawn = texts.select("text", F.xxhash64(F.lit(31), "text").alias("h")).mapInArrow(draw, "h long, y double, x binary")
+    drawn = drawn.groupBy("h").agg(F.first("y").alias("y"), F.first("x").alias("x")).orderBy("h").limit(2 * sample).collect()  # copies are drawn once
     x = np.zeros((len(drawn), FEATURES + 2 * len(LABELLERS) + 1), np.float32)
     for row, r in zip(x, drawn, strict=True):
         cells = np.frombuffer(r["x"], _CELL)
