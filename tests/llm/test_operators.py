@@ -158,6 +158,17 @@ def test_substrings(docs, empty):
     assert rows(substrings.substring_report(empty)) == []
 
 
+def test_stretches_of_long_texts_are_cut_in_parts():
+    rng = np.random.default_rng(6)
+    text = bytes(rng.integers(97, 101, 5000).astype(np.uint8))
+    m, w, first, last, where = substrings.stretches(text, 200, 48, part=700)
+    whole = substrings.stretches(text, 200, 48)
+    starts = lambda f, z, m_: {s: x for a, b, x in zip(f.tolist(), z.tolist(), m_.tolist()) for s in range(a, b + 1)}
+    assert starts(first, last, m) == starts(whole[2], whole[3], whole[0]) and len(starts(first, last, m)) == 4801
+    at = dict(zip(where.tolist(), m.tolist()))
+    assert all(at[p] == x for p, x in zip(whole[4].tolist(), whole[0].tolist()))
+
+
 def test_boundaries_are_common_prefixes():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -237,6 +248,23 @@ def test_sharding(docs, empty, spark):
     assert rows(sharding.shard(empty)) == []
 
 
+def test_sharding_depends_on_rows_alone(spark, docs):
+    """Other files and partitions, dealing one by one or along the gaps: equal rows, sizes near equal."""
+    data = [(i, f"text {i % 400} " * (1 + i % 9)) for i in range(3000)] + [(9000 + i, "one hot text " * 3) for i in range(1500)] + [(20000, "long " * 900)]
+    made = [spark.createDataFrame(d, "doc_id long, text string").repartition(n) for d, n in ((data, 1), (data[::-1], 6))]
+    one, two = (rows(sharding.shard(m, shards=8)) for m in made)
+    assert same(one, two)
+    for few in (0, 10_000):
+        got = sharding.shard(made[0], shards=8, few=few, salt_rows=20).collect()
+        loads = Counter()
+        for r in got:
+            loads[r["shard"]] += r["size"]
+        assert len(got) == len(data) and max(loads.values()) <= 1.02 * sum(loads.values()) / 8 + 4600
+        for s in range(8):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert same(rows(sharding.shard(docs, shards=3)), rows(sharding.shard(docs.repartition(5), shards=3)))
+
+
 def test_sharding_keeps_groups_together(spark):
     data = spark.createDataFrame([(i, f"text {i // 3} " * 20) for i in range(900)] + [(i, f"single {i} " * 20) for i in range(900, 1500)], "doc_id long, text string")
     got = {r["doc_id"]: r["shard"] for r in sharding.shard(data, shards=10).collect()}
@@ -372,14 +400,14 @@ def test_nearest_small_is_exact(spark):
     assert rows(ann.nearest(few.where("false"))) == []
 
 
-@pytest.mark.parametrize("crowd", [65536, 300])
-def test_nearest_recall(spark, crowd):
+@pytest.mark.parametrize("crowd, asks", [(65536, 4096), (300, 20)])
+def test_nearest_recall(spark, crowd, asks):
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((60, 32))
     x = np.concatenate([centres[rng.integers(0, 60, 2000)] + 0.4 * rng.standard_normal((2000, 32)), rng.standard_normal((1000, 32))]).astype(np.float32)
     data = [(i, v.tolist(), 0, 0, "") for i, v in enumerate(x)]
     got = defaultdict(set)
-    for r in ann.nearest(spark.createDataFrame(data, VECTORS), crowd=crowd).collect():
+    for r in ann.nearest(spark.createDataFrame(data, VECTORS), crowd=crowd, asks=asks).collect():
         got[r["query_id"]].add(r["vec_id"])
     want = exact_nearest(data)
     assert all(len(v) == 20 for v in got.values()) and set(got) == set(want)
@@ -387,6 +415,75 @@ def test_nearest_recall(spark, crowd):
     assert recall >= 0.9
 
 
+def test_nearest_recall_on_the_given_vectors(spark):
+    """Vectors with almost no structure, all queries against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = exact_nearest([tuple(r) for r in df.select("vec_id", "embedding").collect()])
+    got = defaultdict(set)
+    for r in ann.nearest(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for i, _ in found}) / 20 for q, found in want.items()]) >= 0.9
+
+
+def brute_quality(texts):
+    """The model document by document: votes, EM without patterns, plain gradient steps in double precision."""
+    ms = [quality.measures(t.encode()) for t in texts]
+    vs = [[2 if m >= junk else 0 if m <= clean else 1 for m, (_, junk, clean) in zip(row, quality.LABELLERS)] for row in ms]
+    post = [1 / (1 + np.exp(-(3.0 * v.count(2) - 0.5 * v.count(0) + 0.5))) for v in vs]
+    for _ in range(200):
+        share = (1 + sum(post)) / (10 + len(post))
+        table = [[[6.0, 3.0, 1.0] for _ in quality.LABELLERS], [[1.0, 3.0, 2.0] for _ in quality.LABELLERS]]
+        for p, v in zip(post, vs):
+            for k, x in enumerate(v):
+                table[0][k][x] += 1 - p
+                table[1][k][x] += p
+        odds = [np.log(share / (1 - share)) + sum(np.log(table[1][k][x] / sum(table[1][k])) - np.log(table[0][k][x] / sum(table[0][k])) for k, x in enumerate(v)) for v in vs]
+        new = [1 / (1 + np.exp(-min(50, max(-50, o)))) for o in odds]
+        done, post = max(abs(a - b) for a, b in zip(new, post)) < 1e-6, new
+        if done:
+            break
+    x = []
+    for t, m, v in zip(texts, ms, vs):
+        b, grams = t.encode(), Counter()
+        pair = lambda i: ((b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA77) % 2**32) >> 7  # noqa: B023, E731
+        for i in range(len(b) - 1):
+            grams[pair(i) % quality.FEATURES] += 1
+        for i in range(len(b) - 2):
+            grams[(((pair(i) * 0xC2B2AE3D + b[i + 2] * 0x27D4EB2F) % 2**32) >> 9) % quality.FEATURES] += 1
+        row = np.zeros(quality.FEATURES + 2 * len(v) + 1)
+        for g, n in grams.items():
+            row[g] = np.sqrt(n / max(1, 2 * len(b) - 3))
+        row[quality.FEATURES :] = [float(a == 2) for a in v] + [float(a == 0) for a in v] + [1.0]
+        x.append(row)
+    x, y = np.array(x), 1 - np.array(post)
+    weight = np.where(y > 0.5, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    step, w, old = 4.0 / ((x * x).sum(axis=1).max() * weight.sum() + 1e-4), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    ahead = w
+    for i in range(300):
+        p = 1 / (1 + np.exp(-(x @ ahead)))
+        old, w = w, ahead - step * (x.T @ (weight * (p - y)) + 1e-4 * ahead)
+        ahead = w + i / (i + 3) * (w - old)
+    return 1 / (1 + np.exp(-(x @ w)))
+
+
+def test_quality_is_the_brute_force_model(spark):
+    rnd = np.random.default_rng(11)
+    prose = lambda n: " ".join("".join(rnd.choice(list("abcdefgh"), rnd.integers(2, 8))) for _ in range(n))
+    texts = [prose(int(rnd.integers(20, 60))) for _ in range(60)] + ["$$ ## !! " * 9 + prose(3) for _ in range(12)] + ["WIN 99 NOW!! " * int(rnd.integers(5, 20)) for _ in range(12)]
+    texts = list(dict.fromkeys(texts))
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert np.abs(np.array([got[i] for i in range(len(texts))]) - brute_quality(texts)).max() < 1e-3
+
+
+def test_quality_draws_copies_once(spark):
+    """A text that is most of the table neither fills the sample nor decides the others."""
+    rnd = np.random.default_rng(12)
+    prose = lambda n: " ".join("".join(rnd.choice(list("abcdefgh"), rnd.integers(2, 8))) for _ in range(n))
+    texts = [prose(40) for _ in range(80)] + ["@@ ** ^^ %% " * 8 + prose(2) for _ in range(20)] + [prose(40)] * 300
+    got = {r["doc_id"]: r["keep"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sample=40).collect()}
+    assert sum(got[i] for i in range(80)) >= 78 and not any(got[i] for i in range(80, 100)) and got[399]
+
+
 def test_quality_on_edges(docs, empty, spark):
     got = rows(quality.score(docs))
     assert len(got) == len(ROWS) and all(0 <= r[1] <= 1 and r[2] == (r[1] >= 0.5) for r in got)
