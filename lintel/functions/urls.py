@@ -51,17 +51,27 @@ def slug(url: Column) -> Column:
     return F.when(dashed != "", dashed).when(decoded.isin("/", ""), "accueil").otherwise("page")
 
 
-def page_ids(pages: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:
-    """Adds ``slug`` and a unique ``id``: the n-th page of a slug gets the suffix -n.
+def free_ids(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
+    """``rows`` with unique ids in ``base``: the first of an id keeps it, the n-th gets -n or the next free number.
 
-    A suffixed id that another page's slug already is would collide; such pages take the next free
-    number, which is found by counting within (stem, number) rather than by a loop.
+    A number is taken where another row's id already reads like id-number; the free numbers of an id are those
+    that no such row holds, and its rows take them in order. All of it is joins and windows by id.
     """
+    pattern = "^(.+)-([1-9][0-9]{0,8})$"
+    given = rows.select(F.col(base).alias("_b")).distinct()
+    read = given.select(F.regexp_extract("_b", pattern, 1).alias("_stem"), F.regexp_extract("_b", pattern, 2).try_cast("long").alias("_number"))
+    taken = read.where("_number > 1").groupBy("_stem").agg(F.array_sort(F.collect_set("_number")).alias("_taken"))
+    nth = F.row_number().over(Window.partitionBy(base).orderBy(*order)).cast("long")
+    out = rows.withColumn("_n", nth).join(taken, F.col(base) == F.col("_stem"), "left")
+    # The n-th row takes the n-th free number: one more for every taken number that is not above it.
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_n"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
+    return out.withColumn(base, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, free))).drop("_n", "_stem", "_taken")
+
+
+def page_ids(pages: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:
+    """Adds ``slug`` and a unique ``id`` made from it."""
     base = pages.withColumn("slug", slug(F.col(url)))
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy(order))
-    out = base.withColumn("n", nth).withColumn("id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")))
-    clash = F.row_number().over(Window.partitionBy("id").orderBy("n", order))
-    return out.withColumn("c", clash).withColumn("id", F.when(F.col("c") == 1, F.col("id")).otherwise(F.concat_ws("-", "id", "c"))).drop("n", "c")
+    return free_ids(base.withColumn("id", F.col("slug")), "id", [order])
 
 
 def title_of(html: Column) -> Column:

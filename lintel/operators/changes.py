@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 
 def distinct_sources(files: DataFrame, key: str, order: str, squeeze: bool = False) -> DataFrame:
-    """The first file of each content; ``squeeze`` compares up to white space."""
+    """The first file of each content; ``squeeze`` compares up to white space. Files without an order come first.
+
+    The first of each content is a partial aggregate over (digest, order): copies never meet in one task,
+    and contents move only for the files that stay.
+    """
     text = F.coalesce(F.col(key), F.lit(""))
     text = F.trim(F.regexp_replace(text, "\\s+", " ")) if squeeze else text
-    first = F.row_number().over(Window.partitionBy(F.sha1(text.cast("binary"))).orderBy(order))
-    return files.withColumn("_n", first).where("_n = 1").drop("_n")
+    digest = F.sha1(text.cast("binary"))
+    place = F.struct(F.col(order).isNotNull().alias("given"), F.col(order).alias("at"))
+    first = files.select(digest.alias("_digest"), place.alias("_place")).groupBy("_digest").agg(F.min("_place").alias("_place"))
+    first = first.select(F.col("_digest").alias("_d"), F.col("_place.at").alias("_at"))
+    held = files.withColumn("_digest", digest).join(first, (F.col("_digest") == F.col("_d")) & F.col(order).eqNullSafe(F.col("_at")))
+    return held.dropDuplicates(["_digest"]).drop("_digest", "_d", "_at")
 
 
 def against_baseline(current: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ a cycle ends it and every edge is followed once. Lineage is cut each round by a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.plans.storage import materialize
@@ -119,18 +119,19 @@ def affected_pages(pages: DataFrame, edges: DataFrame, changed: DataFrame, alway
     return hit.groupBy(F.col("root").alias("page")).agg(F.min("node").alias("reason"))
 
 
+def suffixes(path: Column) -> Column:
+    """A path's suffixes at folder boundaries, itself first."""
+    parts = F.split(F.regexp_replace(path, "\\\\", "/"), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def by_suffix(files: DataFrame, sources: DataFrame) -> DataFrame:
     """(file, page): the first page (smallest ``position``) one of whose sources is a path suffix of the
     file, or the other way round. Suffixes are exploded, so the match is an equi-join.
 
     ``files``: file; ``sources``: page, position, source.
     """
-
-    def suffixes(column: str):
-        parts = F.split(F.regexp_replace(F.col(column), "\\\\", "/"), "/")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-
-    one = files.select("file", F.explode(suffixes("file")).alias("key")).join(sources.select("page", "position", F.regexp_replace("source", "\\\\", "/").alias("key")), "key")
-    two = sources.select("page", "position", F.explode(suffixes("source")).alias("key")).join(files.select("file", F.regexp_replace("file", "\\\\", "/").alias("key")), "key")
+    one = files.select("file", F.explode(suffixes(F.col("file"))).alias("key")).join(sources.select("page", "position", F.regexp_replace("source", "\\\\", "/").alias("key")), "key")
+    two = sources.select("page", "position", F.explode(suffixes(F.col("source"))).alias("key")).join(files.select("file", F.regexp_replace("file", "\\\\", "/").alias("key")), "key")
     both = one.select("file", "page", "position").unionByName(two.select("file", "page", "position"))
     return both.groupBy("file").agg(F.min_by("page", "position").alias("page"))

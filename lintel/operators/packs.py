@@ -76,5 +76,5 @@ def derived(criteria: DataFrame, findings: DataFrame, crosswalk: DataFrame, appl
     rows = crosswalk.select("id").distinct().join(base, "id", "left").join(hits, "id", "left").join(limited, "id", "left")
     n = F.coalesce("normative", F.lit(0))
     open_ = F.when(F.coalesce("c", F.lit(False)), "C").when(F.coalesce("m", F.lit(False)), "manual").otherwise("NA")
-    status = F.when(n > 0, "NC").when(F.col("limited").isNull() & F.coalesce("nc", F.lit(False)) & (n > 0), "NC").when(F.coalesce("nc", F.lit(False)), "manual").otherwise(open_)
+    status = F.when(n > 0, "NC").when(F.coalesce("nc", F.lit(False)), "manual").otherwise(open_)
     return rows.select("id", status.alias("status"), n.alias("normative"))

@@ -41,8 +41,9 @@ def backdrops(elements: DataFrame, styles: DataFrame) -> DataFrame:
     """(page_id, ord, backdrop): colour of the nearest opaque background at or above an element.
 
     Null when an image or gradient comes first or nothing is opaque: that is unknown, not white.
+    ``elements`` needs the column ``path``.
     """
-    chain = elements.select("page_id", "ord", F.posexplode(F.concat(F.array("ord"), "anc_ords")).alias("step", "at"))
+    chain = elements.select("page_id", "ord", F.posexplode(F.concat(F.array("ord"), "path")).alias("step", "at"))
     paint = styles.select("page_id", F.col("ord").alias("at"), (_css("backgroundImage", "none").isin("none", "") == F.lit(False)).alias("image"), parse_colour(_css("backgroundColor")).alias("colour"))
     stops = chain.join(paint, ["page_id", "at"]).where(F.col("image") | (F.get("colour", F.lit(3)) >= 1))
     first = stops.groupBy("page_id", "ord").agg(F.min_by(F.struct("image", "colour"), "step").alias("b"))

@@ -11,9 +11,11 @@ from lintel.operators.verdicts import dotted, rank
 def sarif_results(located: DataFrame) -> DataFrame:
     """One row per SARIF result: rule_id, rule_index, level, page_id, line, col, fingerprint.
 
-    Rules are numbered by the order of their ids over the whole log; a repeated fingerprint gets #n.
+    Rules are numbered by their first appearance in the reading order of the whole log; a repeated fingerprint gets #n.
     """
-    numbered = located.select("rule_id").distinct().withColumn("rule_index", F.row_number().over(Window.orderBy("rule_id")) - 1)  # one row per rule
+    place = F.struct("page_id", "line", "col", rank(F.col("severity")).alias("worst"), "rule_id")
+    seen = located.groupBy("rule_id").agg(F.min(place).alias("first"))  # one row per rule
+    numbered = seen.select("rule_id", (F.row_number().over(Window.orderBy("first")) - 1).alias("rule_index"))
     nth = F.row_number().over(Window.partitionBy("finding_id").orderBy("ord"))
     level = F.when(F.col("advisory"), "note").when(F.col("severity") == "bloquant", "error").otherwise("warning")
     rows = located.withColumn("n", nth).join(F.broadcast(numbered), "rule_id")

@@ -7,51 +7,17 @@ SQL states the expected result. Page ids of fixtures are negative.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import urls
 from lintel.functions import vocabulary as V
 from lintel.operators import changes, documents, graph, harvest, packs, rules, signals, sinks, verdicts
+from lintel.plans import review_queries  # noqa: F401
+from lintel.plans.registry import ORACLES, QUERIES, Query, query, values
 from lintel.plans.seeds import SEEDS
 from lintel.plans.storage import materialize, table
-from lintel.sources.html import elements
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _sql(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    return str(value)
-
-
-def values(columns: str, rows: list[tuple]) -> str:
-    """A SELECT of literal rows; ``columns`` gives names and SQL types."""
-    parts = [c.split() for c in columns.split(",")]
-    cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in parts)
-    names = ", ".join(n for n, _ in parts)
-    if not rows:
-        return "SELECT " + ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in parts) + " WHERE FALSE"
-    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) AS v({names})"
-
+from lintel.sources.html import STANDARD, elements
 
 # --- one query per rule: all pages, and the rule's seeds
 
@@ -92,18 +58,18 @@ for _rule in rules.RULES:
 _CLEAN = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script>.*?</script>', '<script>', 'gs')"
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elements(table(spark, sf_dir, "pages"))
+def _elements(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return elements(table(spark, sf_dir, "pages"), columns)
 
 
 @query(f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all({_CLEAN}, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
 def pages_tags(spark, sf_dir):
-    return _elements(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
+    return _elements(spark, sf_dir, ["tag"]).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("SELECT lower(regexp_extract(html, '<html[^>]*lang=\"([A-Za-z]+)', 1)) AS lang, count(*) AS n FROM pages GROUP BY 1")
 def pages_languages(spark, sf_dir):
-    rows = _elements(spark, sf_dir).where("tag = 'html'")
+    rows = _elements(spark, sf_dir, ["tag", "attrs"]).where("tag = 'html'")
     return rows.groupBy(F.lower(F.split(F.col("attrs")["lang"], "-")[0]).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -121,7 +87,7 @@ def pages_titles(spark, sf_dir):
 @query(f"SELECT page_id, CAST(len(regexp_extract_all({_CLEAN}, '<h1')) AS BIGINT) AS h1, CAST(len(regexp_extract_all({_CLEAN}, '<h[1-6]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all({_CLEAN}, '<a ')) AS BIGINT) AS links FROM pages")
 def pages_headings(spark, sf_dir):
     count = lambda c: F.count_if(c).alias
-    return _elements(spark, sf_dir).groupBy("page_id").agg(count(F.col("tag") == "h1")("h1"), count(F.col("tag").rlike("^h[1-6]$"))("headings"), count(F.col("tag") == "a")("links"))
+    return _elements(spark, sf_dir, ["tag"]).groupBy("page_id").agg(count(F.col("tag") == "h1")("h1"), count(F.col("tag").rlike("^h[1-6]$"))("headings"), count(F.col("tag") == "a")("links"))
 
 
 @query(
@@ -162,7 +128,7 @@ def pages_links(spark, sf_dir):
 
 @query("SELECT page_id, links FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links FROM pages) ORDER BY links DESC, page_id LIMIT 10")
 def pages_most_links(spark, sf_dir):
-    rows = _elements(spark, sf_dir).where("tag = 'a'").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    rows = _elements(spark, sf_dir, ["tag"]).where("tag = 'a'").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
     return rows.orderBy(F.desc("links"), "page_id").limit(10)
 
 
@@ -209,26 +175,23 @@ t AS (
 """
 
 
-_AUDITS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(findings of the whole catalogue over all pages, the elements they were found on): one parse, one sort, one write."""
+    parsed = materialize(rules.prepared(elements(table(spark, sf_dir, "pages"))), "elements")
+    return rules.findings(parsed, ready=True), parsed
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, criteria, pages) of the whole catalogue over all pages.
-
-    The written tables are shared by the queries of one session over the same folder.
-    """
+    """(findings, criteria, pages) of the whole catalogue over all pages."""
     pages = table(spark, sf_dir, "pages")
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _AUDITS:
-        parsed = materialize(elements(pages), "parsed")
-        found = materialize(rules.findings(parsed), "findings")
-        _AUDITS[key] = (found, materialize(verdicts.criterion_status(found, verdicts.applicable_anywhere(parsed, pages)), "criteria"))
-    return *_AUDITS[key], pages
+    found, parsed = _findings(spark, sf_dir)
+    found = materialize(found, "findings")
+    return found, verdicts.criterion_status(found, verdicts.applicable_anywhere(parsed, pages)), pages
 
 
 @query(f"SELECT msg_id AS rule_id, severity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY 1, 2")
 def audit_severities(spark, sf_dir):
-    return _audit(spark, sf_dir)[0].groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return _findings(spark, sf_dir)[0].groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_STATUS + "SELECT sc, guideline, level, normative, advised, status, inapplicable FROM t")
@@ -270,10 +233,12 @@ def audit_average_rate(spark, sf_dir):
     return verdicts.page_rates(_page_status(spark, sf_dir)).where("rate is not null").agg(F.avg("rate").alias("rate"), F.count(F.lit(1)).alias("pages"))
 
 
-@query(_PAGE_STATUS + "SELECT sc, max(CASE WHEN page_id = 0 THEN replace(status, 'manual', '?') END) AS \"0\", max(CASE WHEN page_id = 1 THEN replace(status, 'manual', '?') END) AS \"1\", max(CASE WHEN page_id = 2 THEN replace(status, 'manual', '?') END) AS \"2\" FROM g GROUP BY sc")
+@query(_PAGE_STATUS + "SELECT sc, count(*) FILTER (status = 'C') AS conforming, count(*) FILTER (status = 'NC') AS failing, count(*) FILTER (status = 'NA') AS absent, count(*) FILTER (status = 'manual') AS open FROM g GROUP BY sc")
 def audit_grid(spark, sf_dir):
-    """The printed form of three pages; ``audit_grid_pages`` has all of them."""
-    return verdicts.grid(_page_status(spark, sf_dir), [0, 1, 2])
+    """The grid of all pages folded to one row per criterion; ``audit_grid_pages`` has its cells."""
+    marked = verdicts.marks(_page_status(spark, sf_dir))
+    count = lambda mark, name: F.count_if(F.col("mark") == mark).alias(name)
+    return marked.groupBy("sc").agg(count("C", "conforming"), count("NC", "failing"), count("NA", "absent"), count("?", "open"))
 
 
 @query(_PAGE_STATUS + "SELECT page_id, sc, replace(status, 'manual', '?') AS mark FROM g")
@@ -283,18 +248,18 @@ def audit_grid_pages(spark, sf_dir):
 
 @query(f"SELECT sc, 'majeur' AS severity, CAST(2 * sum(n) AS BIGINT) AS points, CASE WHEN 2 * sum(n) <= 4 THEN 'S' WHEN 2 * sum(n) <= 12 THEN 'M' ELSE 'L' END AS bucket, CAST(sum(n) AS BIGINT) AS occurrences, bool_and(advisory) AS advisory FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY sc")
 def audit_units(spark, sf_dir):
-    return verdicts.units(_audit(spark, sf_dir)[0])
+    return verdicts.units(_findings(spark, sf_dir)[0])
 
 
 @query(f"SELECT 'page-criterion ' || page_id || ' ' || sc AS title, CAST(sum(n) AS BIGINT) AS occurrences, 'majeur' AS severity FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY page_id, sc")
 def audit_tickets(spark, sf_dir):
-    return verdicts.tickets(_audit(spark, sf_dir)[0], "page-criterion")
+    return verdicts.tickets(_findings(spark, sf_dir)[0], "page-criterion")
 
 
-@query(f"SELECT rule_id, CAST(dense_rank() OVER (ORDER BY rule_id) - 1 AS INTEGER) AS rule_index, level, results FROM (SELECT msg_id AS rule_id, CASE WHEN advisory THEN 'note' ELSE 'warning' END AS level, CAST(sum(n) AS BIGINT) AS results FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY 1, 2)")
+@query(f"SELECT rule_id, CAST(row_number() OVER (ORDER BY first_page, within) - 1 AS INTEGER) AS rule_index, level, results FROM (SELECT msg_id AS rule_id, CASE WHEN advisory THEN 'note' ELSE 'warning' END AS level, min(page_id) AS first_page, bool_and(advisory) AS within, CAST(sum(n) AS BIGINT) AS results FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY 1, 2)")
 def audit_sarif(spark, sf_dir):
-    parsed = materialize(_elements(spark, sf_dir), "parsed")
-    found = rules.located(rules.findings(parsed), parsed)
+    found, parsed = _findings(spark, sf_dir)
+    found = rules.located(materialize(found, "findings"), parsed)
     return sinks.sarif_results(found).groupBy("rule_id", "rule_index", "level").agg(F.count(F.lit(1)).alias("results"))
 
 
@@ -314,7 +279,7 @@ def audit_baseline(spark, sf_dir):
 @query(f"SELECT page_id, 'p' AS key, CAST(1 AS BIGINT) AS surplus FROM (SELECT page_id, len(regexp_extract_all({_CLEAN}, '<p>')) AS n FROM pages) WHERE n > 0")
 def audit_surplus(spark, sf_dir):
     """Occurrences of a tag beyond an earlier count that held one paragraph less per page."""
-    current = materialize(_elements(spark, sf_dir).select("page_id", F.col("tag").alias("key"), "ord"), "occurrences")
+    current = materialize(_elements(spark, sf_dir, ["tag"]).select("page_id", F.col("tag").alias("key"), "ord"), "occurrences")
     counts = current.groupBy("page_id", "key").agg(F.count(F.lit(1)).alias("n"))
     earlier = counts.withColumn("n", F.when(F.col("key") == "p", F.col("n") - 1).otherwise(F.col("n")))
     return changes.surplus(current, earlier).where("state = 'new'").groupBy("page_id", "key").agg(F.count(F.lit(1)).alias("surplus"))
@@ -330,7 +295,7 @@ def criteria_order(spark, sf_dir):
 
 @query("SELECT kind, key, TRUE AS anywhere, n = (SELECT count(*) FROM pages) AS everywhere FROM (SELECT 'tag' AS kind, tag AS key, count(DISTINCT page_id) AS n FROM (SELECT page_id, unnest(regexp_extract_all(" + _CLEAN + ", '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 2)")
 def pages_coverage(spark, sf_dir):
-    return changes.shared_coverage(_elements(spark, sf_dir).select("page_id", F.lit("tag").alias("kind"), F.col("tag").alias("key")))
+    return changes.shared_coverage(_elements(spark, sf_dir, ["tag"]).select("page_id", F.lit("tag").alias("kind"), F.col("tag").alias("key")))
 
 
 # --- fixtures: graphs, signals, packs, verdict state
@@ -387,7 +352,7 @@ _STYLES = [
 
 def _signals(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     pages = spark.createDataFrame([(-1, _STYLED), (-2, "<p>shifted digest</p>")], "page_id long, html string")
-    parsed = materialize(elements(pages), "parsed")
+    parsed = materialize(elements(pages, [*STANDARD, "path"]), "parsed")
     styles = spark.createDataFrame(_STYLES, "page_id long, ord int, tag string, css map<string,string>")
     return parsed, signals.aligned(styles, parsed)
 
@@ -404,7 +369,7 @@ def signals_pixels(spark, sf_dir):
     image = {"backgroundImage": "url(x.png)"}
     styles = spark.createDataFrame([(-1, 0, "div", image), (-1, 1, "p", {"color": "rgb(255, 255, 255)"}), (-1, 2, "p", {"color": "rgb(255, 255, 255)"})], "page_id long, ord int, tag string, css map<string,string>")
     pixels = [(-1, 1, 200, 200, 200)] * 7 + [(-1, 1, 10, 10, 10)] * 3 + [(-1, 2, 30 * i, 20 * i, 10 * i) for i in range(8)]
-    return signals.pixel_contrast(elements(pages), styles, signals.dominant_colours(spark.createDataFrame(pixels, "page_id long, ord int, r int, g int, b int")))
+    return signals.pixel_contrast(elements(pages, [*STANDARD, "path"]), styles, signals.dominant_colours(spark.createDataFrame(pixels, "page_id long, ord int, r int, g int, b int")))
 
 
 @query(values("page_id BIGINT, ord INTEGER, rule_id VARCHAR, sc VARCHAR, severity VARCHAR, detail VARCHAR", [(-1, 0, "rendered-focus-not-visible", "2.4.7", "majeur", ""), (-2, 0, "rendered-orientation-lock", "1.3.4", "majeur", "(orientation: portrait)")]))

@@ -1,12 +1,15 @@
 """Where intermediate results go so that lost executors cost no more than a re-read.
 
 Lineage is cut by writing a table in the folder that the cluster names in
-``spark.checkpoint.dir``. Only where that setting is missing (tests on one machine) a folder
-of this process is made up.
+``spark.checkpoint.dir``. Only on one machine, and only where that setting is missing (tests), a
+folder of this process is made up. Tables stand in one folder per application;
+:func:`drop_intermediates` removes it when no result that reads from it is wanted any more, and the
+end of the process tries to.
 """
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -14,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_used: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,22 +25,44 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lintel-"))
-        import atexit
-
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/lintel-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: full lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/lintel-{uuid.uuid4().hex}-{label}"
+    folder = application_folder(spark)
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(_drop_quietly, spark)
+    path = f"{folder}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete every table that this application wrote by :func:`materialize`."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _drop_quietly(spark: SparkSession) -> None:
+    try:
+        drop_intermediates(spark)
+    except Exception:  # the session may have ended before the process
+        pass
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by :func:`materialize` that no later step reads."""
     if df is None:
@@ -45,7 +71,7 @@ def discard(df: DataFrame | None) -> None:
     jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("lintel-"):
+        if folder.getParent().getName().startswith("lintel-"):
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
