@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r ﻿"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value written and computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(value: Column) -> Column:
     return F.trim(value, F.lit(BLANKS))
 
@@ -175,33 +180,42 @@ NAMED_COLOURS = {
 
 def parse_colour(value: Column) -> Column:
     """array(r, g, b, alpha) of a literal colour; null when it is none."""
-    s = F.lower(trim(value))
-    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in NAMED_COLOURS.items() for x in kv]), s)
-    digits = F.coalesce(F.concat(F.lit("#"), named), s)
-    short = F.regexp_replace(digits, "^#([0-9a-f])([0-9a-f])([0-9a-f])([0-9a-f]?)$", "#$1$1$2$2$3$3$4$4")
-    part = lambda i: F.conv(F.substring(short, 2 + 2 * i, 2), 16, 10).cast("double")
-    by_hex = F.when(short.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), F.array(part(0), part(1), part(2), F.when(F.length(short) == 9, part(3) / 255).otherwise(1.0)))
-    inside = F.filter(F.split(F.regexp_extract(s, "^rgba?\\(([^)]+)\\)$", 1), "[,/\\s]+"), lambda p: p != "")
-    level = lambda p, full: F.when(p.endswith("%"), F.regexp_replace(p, "%", "").try_cast("double") * (full / 100)).otherwise(p.try_cast("double"))
-    alpha = F.when(F.size(inside) > 3, level(F.try_element_at(inside, F.lit(4)), 1.0)).otherwise(1.0)
-    inside_get = lambda i: F.try_element_at(inside, F.lit(i + 1))
-    channel = lambda i: F.when(inside_get(i).endswith("%"), F.floor(level(inside_get(i), 255.0) + 0.5).cast("double")).otherwise(level(inside_get(i), 255.0))
-    rgb = F.array(channel(0), channel(1), channel(2), alpha)
-    by_rgb = F.when((F.size(inside) >= 3) & ~F.exists(rgb, lambda x: x.isNull()), rgb)
-    return F.when(s == "transparent", F.array(*[F.lit(0.0)] * 4)).otherwise(F.coalesce(by_hex, by_rgb))
+    names = F.create_map(*[F.lit(x) for kv in NAMED_COLOURS.items() for x in kv])
+    nothing = F.lit(None).cast("array<double>")
+
+    def by_hex(digits: Column) -> Column:
+        part = lambda i: F.conv(F.substring(digits, 2 + 2 * i, 2), 16, 10).cast("double")
+        whole = F.array(part(0), part(1), part(2), F.when(F.length(digits) == 9, part(3) / 255).otherwise(1.0))
+        return F.when(digits.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), whole).otherwise(nothing)
+
+    def level(p: Column, full: float) -> Column:
+        return F.when(p.endswith("%"), F.regexp_replace(p, "%", "").try_cast("double") * (full / 100)).otherwise(p.try_cast("double"))
+
+    def by_rgb(parts: Column) -> Column:
+        at = lambda i: F.try_element_at(parts, F.lit(i + 1))
+        channel = lambda i: bind(at(i), lambda p: F.when(p.endswith("%"), F.floor(level(p, 255.0) + 0.5).cast("double")).otherwise(level(p, 255.0)))
+        alpha = F.when(F.size(parts) > 3, bind(at(3), lambda p: level(p, 1.0))).otherwise(1.0)
+        return bind(F.array(channel(0), channel(1), channel(2), alpha), lambda c: F.when((F.size(parts) >= 3) & ~F.exists(c, lambda x: x.isNull()), c).otherwise(nothing))
+
+    def of(s: Column) -> Column:
+        digits = F.coalesce(F.concat(F.lit("#"), F.try_element_at(names, s)), s)
+        doubled = F.regexp_replace(digits, "^#([0-9a-f])([0-9a-f])([0-9a-f])([0-9a-f]?)$", "#$1$1$2$2$3$3$4$4")
+        parts = F.filter(F.split(F.regexp_extract(s, "^rgba?\\(([^)]+)\\)$", 1), "[,/\\s]+"), lambda p: p != "")
+        return F.when(s == "transparent", F.array(*[F.lit(0.0)] * 4)).otherwise(F.coalesce(bind(doubled, by_hex), bind(parts, by_rgb)))
+
+    return bind(F.lower(trim(value)), of)
 
 
 def luminance(colour: Column) -> Column:
     def linear(c: Column) -> Column:
-        return F.when(c / 255 <= 0.03928, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, 2.4))
+        return bind(c / 255, lambda x: F.when(x <= 0.03928, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, 2.4)))
 
     return 0.2126 * linear(colour[0]) + 0.7152 * linear(colour[1]) + 0.0722 * linear(colour[2])
 
 
 def contrast(a: Column, b: Column) -> Column:
     """WCAG contrast ratio of two opaque colours."""
-    la, lb = luminance(a), luminance(b)
-    return (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05)
+    return bind(F.array(bind(a, luminance), bind(b, luminance)), lambda l: (F.array_max(l) + 0.05) / (F.array_min(l) + 0.05))
 
 
 def style_values(style: Column, *properties: str) -> Column:
