@@ -93,38 +93,43 @@ class ChunkEncoder:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
+        runs = self.runs
+        found = runs.young.get(run)
         if found is None:
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.runs.put(run, found)
+            found = runs.old.get(run)
+            if found is None:
+                shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            runs.put(run, found)
         return found
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        low = chunk.lower()
+        if self.fast and chunk.isascii() and low.isalpha():
+            return self._run(low)
         if not self.fast or "<|" in chunk or not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)
-        low = chunk.lower()
         if low.isalpha():
             return self._run(low)
         return b"".join([self._run(r) for r in _PIECES.findall(low)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out = []
+        out, chunks = [], self.chunks
         for text in texts:
             parts = text.replace("\n", " ").split(" ")
-            young = self.chunks.young.get
-            row = [young(c) for c in parts]
+            row = list(map(chunks.young.get, parts))
             if None in row:
                 for i, found in enumerate(row):
                     if found is None:
                         c = parts[i]
-                        found = self.chunks.get(c)
+                        found = chunks.young.get(c)  # it may have come with this text
                         if found is None:
-                            found = self._chunk(c)
-                            self.chunks.put(c, found)
+                            found = chunks.old.get(c)
+                            chunks.put(c, self._chunk(c) if found is None else found)
+                            found = chunks.young[c]
                         row[i] = found
             out.append(b"".join(row))
         return out
