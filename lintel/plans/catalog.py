@@ -37,7 +37,8 @@ def _rule_query(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         seeds = spark.createDataFrame([(_seed_id(i), html) for i, (html, _) in enumerate(SEEDS[rule])], "page_id long, html string")
         pages = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(seeds)
-        found = rules.findings(elements(pages), [rule])
+        slim = rules.needed(spark, [rule])
+        found = rules.findings(elements(pages, slim[0] if slim else None), [rule])
         return found.groupBy("page_id", "sc", "severity", "advisory", "msg_id").agg(F.count(F.lit(1)).alias("n"))
 
     return run
@@ -95,12 +96,12 @@ def pages_headings(spark, sf_dir):
     "SELECT 'link|' || replace(t, '&amp;', '&') || '|' || replace(href, '&amp;', '&') AS cls, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM b GROUP BY 1"
 )
 def pages_link_classes(spark, sf_dir):
-    return harvest.collapsed(harvest.harvest(_elements(spark, sf_dir), ["links"])).select("cls", "occurrences", "pages")
+    return harvest.collapsed(harvest.harvest(_elements(spark, sf_dir, ["tag", "attrs", "text"]), ["links"])).select("cls", "occurrences", "pages")
 
 
 @query("SELECT 'headings' AS subject, (SELECT count(DISTINCT regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) FROM pages) AS classes, (SELECT count(*) FROM pages WHERE html LIKE '%<h1>%') AS occurrences, (SELECT count(*) FROM pages WHERE html LIKE '%<h1>%') AS pages UNION ALL SELECT 'declaredLang', (SELECT count(DISTINCT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)) FROM pages), (SELECT count(*) FROM pages), (SELECT count(*) FROM pages)")
 def pages_population(spark, sf_dir):
-    return harvest.population(harvest.harvest(_elements(spark, sf_dir), ["headings", "declaredLang"]))
+    return harvest.population(harvest.harvest(_elements(spark, sf_dir, ["tag", "attrs", "text"]), ["headings", "declaredLang"]))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-z]+://[^/?]*(?:/[^?]*)?/)index\\.x?html?(\\?|$)', '\\1\\2'), '^([a-z]+://[^/?]+)(\\?|$)', '\\1/\\2') AS canonical FROM pages")
