@@ -14,12 +14,13 @@ from lintel.functions import urls
 from lintel.functions import vocabulary as V
 from lintel.operators import changes, documents, graph, harvest, packs, rules, signals, sinks, verdicts
 from lintel.plans import review_queries  # noqa: F401
+from lintel.plans.made_pages import MADE
 from lintel.plans.registry import ORACLES, QUERIES, Query, query, values
 from lintel.plans.seeds import SEEDS
 from lintel.plans.storage import materialize, table
 from lintel.sources.html import STANDARD, elements
 
-# --- one query per rule: all pages, and the rule's seeds
+# --- one query per rule: all pages, the rule's seeds, and pages made from the rows of a table
 
 _FOUND = "page_id BIGINT, sc VARCHAR, severity VARCHAR, advisory BOOLEAN, msg_id VARCHAR, n BIGINT"
 #: Rules that fire on generated pages, as SQL over their markup.
@@ -37,6 +38,9 @@ def _rule_query(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         seeds = spark.createDataFrame([(_seed_id(i), html) for i, (html, _) in enumerate(SEEDS[rule])], "page_id long, html string")
         pages = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(seeds)
+        if rule in MADE:
+            made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+            pages = pages.unionByName(made.select((-1000 - F.col("k")).alias("page_id"), F.expr(MADE[rule][0]).alias("html")))
         slim = rules.needed(spark, [rule])
         found = rules.findings(elements(pages, slim[0] if slim else None), [rule])
         return found.groupBy("page_id", "sc", "severity", "advisory", "msg_id").agg(F.count(F.lit(1)).alias("n"))
@@ -44,6 +48,12 @@ def _rule_query(rule: str) -> Query:
     return run
 
 
+def _made_sql(rule: str) -> str:
+    _, n, sc, severity, advisory, variant = MADE[rule]
+    msg = f"{rule}.{variant}" if variant else rule
+    return f" UNION ALL SELECT -1000 - k, '{sc}', '{severity}', {str(advisory).upper()}, '{msg}', CAST(n AS BIGINT) FROM (SELECT k, {n} AS n FROM (SELECT s_suppkey AS k FROM supplier)) WHERE n > 0"
+
+
 for _rule in rules.RULES:
     _name = "rule_" + _rule.replace("-", "_")
     QUERIES[_name] = _rule_query(_rule)
@@ -51,7 +61,7 @@ for _rule in rules.RULES:
         (_seed_id(i), sc, severity, advisory, f"{_rule}.{variant}" if variant else _rule, n)
         for i, (_, expected) in enumerate(SEEDS[_rule]) for sc, severity, advisory, variant, n in expected
     ]
-    ORACLES[_name] = values(_FOUND, _rows) + (f" UNION ALL {ON_PAGES[_rule]}" if _rule in ON_PAGES else "")
+    ORACLES[_name] = values(_FOUND, _rows) + (f" UNION ALL {ON_PAGES[_rule]}" if _rule in ON_PAGES else "") + (_made_sql(_rule) if _rule in MADE else "")
 
 
 # --- pages
