@@ -51,6 +51,48 @@ def read_pages(spark: SparkSession, *paths: str, **scope) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"), kind_of(F.col("path")).alias("kind"))
 
 
+def without_front_matter(source: Column) -> Column:
+    """A component source whose fenced head (between two lines of three dashes) is blanked; lines keep their numbers."""
+    fence = "(?s)^(\\s*---[ \\t]*\\r?\\n.*?\\n---[ \\t]*(?:\\r?\\n|$))"
+    head = F.regexp_extract(source, fence, 1)
+    blank = F.regexp_replace(head, "[^\\r\\n]", " ")
+    return F.when(head == "", source).otherwise(F.concat(blank, F.substring(source, F.length(head) + 1, F.length(source))))
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html, kind) as far as the markup parser reads them.
+
+    Single-file components are templates in markup: they are read whole, Astro's head blanked. JSX is not read.
+    """
+    astro = F.lower(F.col("url")).endswith(".astro")
+    return pages.where("kind in ('html', 'sfc')").withColumn("html", F.when(astro, without_front_matter(F.col("html"))).otherwise(F.col("html")))
+
+
+def from_text(spark: SparkSession, text: str, name: str = "stdin") -> DataFrame:
+    """One page given as a string, such as standard input, as a table of one row."""
+    rows = spark.createDataFrame([(name, text)], "url string, html string")
+    return rows.select(F.xxhash64("url").alias("page_id"), "url", "html", F.lit("html").alias("kind"))
+
+
+def pdf_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, sha1, bytes, content) of the PDF files below the paths, each content once, its first path kept."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(list(paths))
+    first = files.select(F.sha1("content").alias("sha1"), "path").groupBy("sha1").agg(F.min("path").alias("path"))
+    return files.join(first, "path").select(F.col("path").alias("file"), "sha1", F.col("length").alias("bytes"), "content")
+
+
+def changed_only(pages: DataFrame, changed: DataFrame, url: str = "url") -> DataFrame:
+    """Pages whose path ends in one of the changed files (file: paths from the root of a repository).
+
+    Suffixes of the pages' paths are exploded, so the match is an equi join.
+    """
+    from lintel.operators.graph import suffixes
+
+    keys = pages.select(F.col(url).alias("_url"), F.explode(suffixes(F.col(url))).alias("_key"))
+    hit = keys.join(changed.select(F.regexp_replace("file", "^[.]/", "").alias("_key")).distinct(), "_key").select("_url").distinct()
+    return pages.join(hit, F.col(url) == F.col("_url"), "left_semi")
+
+
 def tiered(files: DataFrame, path: str = "url") -> DataFrame:
     """Distinct files with the tier that orders them: pages and layouts, then components, then the rest."""
     p = F.col(path)

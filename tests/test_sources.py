@@ -105,3 +105,43 @@ def test_distinct_sources_spread_copies(spark):
 def test_regression_keys(spark):
     rows = spark.createDataFrame([("div#:r1a: > a.btn-x9f3k2:nth-child(3)",), ("div#:r7: > a.btn-q8z1m4:nth-child(4)",)], "s string")
     assert rows.select(changes.regression_key(F.lit("r"), F.lit("1.1.1"), F.col("s"))).distinct().count() == 1
+
+
+def test_components_text_and_changed_files(spark):
+    rows = [(1, "/r/a.astro", "---\nconst x = '<img>';\n---\n<img alt=x>", "sfc"), (2, "/r/b.vue", "<template><p>b</p></template>", "sfc"), (3, "/r/c.tsx", "return <p/>", "jsx"), (4, "/r/d.html", "---\nno\n---", "html")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
+    got = {r["page_id"]: r["html"] for r in files.readable(pages).collect()}
+    assert set(got) == {1, 2, 4} and got[4] == rows[3][2] and got[1].endswith("\n<img alt=x>") and "const" not in got[1]
+    parsed = elements(files.readable(pages), ["tag", "line"]).where("page_id = 1").collect()
+    assert [(r["tag"], r["line"]) for r in parsed] == [("img", 4)]
+    assert [r["tag"] for r in elements(files.from_text(spark, "<i>x</i>"), ["tag"]).collect()] == ["i"]
+    changed = spark.createDataFrame([("./a.astro",), ("d.html",), ("other/b.vue",)], "file string")
+    assert {r["page_id"] for r in files.changed_only(pages, changed).collect()} == {1, 4}
+
+
+def test_pdf_files(spark, tmp_path):
+    for name, body in (("x/a.pdf", b"%PDF-1"), ("b.PDF", b"%PDF-1"), ("c.pdf", b"%PDF-2"), ("d.txt", b"no")):
+        os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = sorted((os.path.basename(r["file"]), r["bytes"]) for r in files.pdf_files(spark, str(tmp_path)).collect())
+    assert got == [("b.PDF", 6), ("c.pdf", 6)]
+
+
+def test_more_outputs(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "<img src=a id=x7f3k9><blink>x</blink>")], "page_id long, html string")
+    parsed = elements(pages)
+    located = rules.located(rules.findings(parsed, ["blink-marquee", "img-alt-missing"]), parsed)
+    criteria = verdicts.criteria_dim(spark).limit(3)
+    sinks.write_document(str(tmp_path / "doc"), criteria, located, pages)
+    assert spark.read.json(str(tmp_path / "doc/findings")).count() == 2 and spark.read.json(str(tmp_path / "doc/criteria")).count() == 3
+    counts = sinks.baseline_counts(located)
+    assert pairs(counts.select("n")) == [(1,), (1,)]
+    tickets = verdicts.tickets(located, "criterion")
+    assert pairs(sinks.new_tickets(tickets, tickets.where("title like '%2.2.2%'")).select("title")) == [("criterion 1.1.1",)]
+    assert [r["sc"] for r in sinks.backlog(verdicts.units(located)).collect()] == ["1.1.1", "2.2.2"]
+    diff = changes.against_baseline(located, located.where("rule_id = 'blink-marquee'"))
+    assert sinks.comment(located, diff).splitlines() == ["1 new, 0 fixed", "", "- bloquant `img-alt-missing` 1:1:1"]
+    decided = spark.createDataFrame([("1.1.1", "C"), ("1.2.1", "manual")], "sc string, verdict string")
+    evidence = spark.createDataFrame([("1.1.1", "b"), ("1.1.1", "a")], "sc string, key string")
+    ledger = sinks.ledger_entries(decided, evidence)
+    assert pairs(changes.replayed(ledger, evidence, decided.select("sc"))) == [("1.1.1", "fresh"), ("1.2.1", "missing")]
