@@ -1,11 +1,11 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-Each text becomes its set of 5-word shingles. A signature keeps 16 bits of each of 45 min-hashes.
-Signatures are split in 9 chunks of 5 symbols. If two signatures differ in at most 26 symbols,
-some chunk differs in at most two (pigeonhole: 9 x 3 - 1); so each chunk is indexed under its 10 keys
-that leave two symbols out, and every pair within distance 26 shares a key. That distance is the
+Each text becomes its set of 5-word shingles. A signature keeps 16 bits of each of 50 min-hashes.
+Signatures are split in 10 chunks of 5 symbols. If two signatures differ in at most 29 symbols,
+some chunk differs in at most two (pigeonhole: 10 x 3 - 1); so each chunk is indexed under its 10 keys
+that leave two symbols out, and every pair within distance 29 shares a key. That distance is the
 threshold of the join: the index guarantees all pairs up to it, and candidates beyond it are
-discarded. A pair of similarity 0.75 exactly lies beyond it with a chance of 6.8e-7, a more
+discarded. A pair of similarity 0.75 exactly lies beyond it with a chance of 1.6e-7, a more
 similar one with a smaller chance. Candidates are verified on their full shingle sets.
 
 Texts with equal sets are one class from the start. Within a bucket members are compared with one
@@ -40,7 +40,7 @@ from lintel.llm.textkernels import mix, shingle_set
 from lintel.llm.components import connected_components
 from lintel.plans.storage import discard, materialize, small_batches
 
-SYMBOLS, CHUNK, ERRORS = 45, 5, 2
+SYMBOLS, CHUNK, ERRORS = 50, 5, 2
 #: What the index guarantees: with one difference more, every chunk may hold ERRORS + 1.
 DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
 _rng = np.random.default_rng(20260101)
@@ -58,7 +58,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """(rows, 90) bucket keys: the chunk, which of its symbols are left out, and its other three symbols."""
+    """(rows, 100) bucket keys: the chunk, which of its symbols are left out, and its other three symbols."""
     parts = signatures.reshape(len(signatures), -1, CHUNK).astype(np.int64)
     keys = []
     for c in range(parts.shape[1]):
@@ -176,7 +176,7 @@ _BUCKET = ("key", "node", "sig", "size", "pos")
 class _Linker:
     """Finds links between classes of equal sets, bucket by bucket, and keeps the components."""
 
-    def __init__(self, texts: DataFrame, width: int, percent: int, tile: int):
+    def __init__(self, texts: DataFrame, width: int, percent: int, tile: int = 2048):
         self.texts, self.width, self.percent, self.tile = texts, width, percent, tile
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -195,16 +195,16 @@ class _Linker:
         several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         return rows.join(several, "key").select(*_BUCKET, "label")
 
-    def across(self, members: DataFrame, hubs: DataFrame) -> DataFrame:
+    def across(self, members: DataFrame, hubs: DataFrame, order: str = "true") -> DataFrame:
         """Pairs of a bucket's members with its hub and across components, but for those that the signatures'
-        distance, or size and position, rule out.
+        distance, or size and position, rule out; ``order`` is one more condition on a pair.
 
         With the first shared shingle at positions i and j no more than min(size - i) can be shared.
         """
         other = hubs.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "sig", "label", "size", "pos")])
         need = F.ceil((F.col("size") + F.col("v_size")) * self.percent / F.lit(100 + self.percent))
         open_ = (F.col("size") == 0) | (F.least(F.col("size") - F.col("pos"), F.col("v_size") - F.col("v_pos")) >= need)
-        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & open_ & (_distance("sig", "v_sig") <= DISTANCE))
+        near = members.join(other, (members["key"] == other["key"]) & (F.col("label") != F.col("v_label")) & F.expr(order) & open_ & (_distance("sig", "v_sig") <= DISTANCE))
         return near.select(F.col("node").alias("u"), F.col("v_node").alias("v"))
 
     def rest(self, members: DataFrame) -> DataFrame:
