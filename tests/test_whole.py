@@ -1,10 +1,5 @@
 """Queries and operators do the whole job, not a part of it."""
 
-import inspect
-
-import numpy as np
-
-from lintel.llm import ann, minhash, quality, sharding
 from lintel.operators import harvest
 from lintel.plans import catalog
 from lintel.plans.storage import table
@@ -51,57 +46,3 @@ def test_harvest_reads_scripts_and_styles(spark):
     assert [c for s, c in found if s == "timers"] == ["timer|setTimeout(f, 1)"]
     assert [c for s, c in found if c.startswith("foreign")] == ["foreign|Please read"]
     assert {r["page_id"] for r in got} == {-1}
-
-
-def test_scorer_keeps_its_features_and_sample():
-    assert quality.FEATURES == 4096
-    assert all(inspect.signature(f).parameters["sample"].default == 2000 for f in (quality.train, quality.score, quality.keep_good))
-    x = quality._dense(b"some words of a text", quality.measures(b"some words of a text"))
-    cells = np.frombuffer(quality._sparse(x), quality._CELL)
-    back = np.zeros_like(x)
-    back[cells["at"]] = cells["value"]
-    assert (back == x).all() and len(x) == 4096 + 2 * len(quality.LABELLERS) + 1
-
-
-def test_split_looks_at_whole_words():
-    at = [name for name, _, _ in quality.LABELLERS].index("split")
-    assert quality.measures(b"2024-01-15T10:00Z 1234567890abc 12345678\xc3\xa9 word")[at] == 0
-    assert quality.measures(b"2024-01-15 1234567890\n--- word")[at] == 0.75
-
-
-def test_queries_in_sparse_regions_finish_their_search(spark):
-    rng = np.random.default_rng(5)
-    centres = 6 * rng.standard_normal((3, 24))
-    x = np.concatenate([centres[rng.integers(0, 3, 2900)] + 0.3 * rng.standard_normal((2900, 24)), rng.standard_normal((60, 24))])
-    ids = [20 * i + 1 for i in range(2900)] + [20 * i for i in range(60)]
-    ids[:200] = [20 * (60 + i) for i in range(200)]
-    data = [(i, v.tolist()) for i, v in zip(ids, x.astype(np.float32), strict=True)]
-    got: dict[int, set] = {}
-    for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>"), sample=3).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    vectors = np.array([v for _, v in data])
-    lone = range(2900, 2960)
-    found = []
-    for n in lone:
-        s = vectors @ vectors[n]
-        s[n] = -np.inf
-        found.append(len({ids[j] for j in np.argsort(-s)[:20]} & got[ids[n]]) / 20)
-    assert np.mean(found) >= 0.75  # 0.70 where a search may end at the partitions' prefix
-
-
-def test_large_cells_hold_up_no_smaller_ones(spark):
-    # Shard 0 has room for 100: the hot group's cell of 500 wants it too, and pulls harder.
-    rows = [(1, 1, 0, 9, 900), (1, 1, 1, 5, 500)]
-    rows += [(g, g, s, 1, b) for g in range(2, 7) for s, b in ((0, 12), (1, 10))]
-    cells = spark.createDataFrame(rows, "g1 long, g2 long, start int, n long, bytes long")
-    got = sharding.propagate(cells, 2, 1060.0, 6).collect()
-    for g in range(2, 7):
-        assert len({r["shard"] for r in got if r["g1"] == g}) == 1
-
-
-def test_distance_filter_is_wide(spark):
-    sigs = np.zeros((2, minhash.SYMBOLS), np.uint16)
-    sigs[1, :28] = 1
-    rows = [(7, bytes([i]), bytearray(s.tobytes()), bytes([i]), 0, 0) for i, s in enumerate(sigs)]
-    members = spark.createDataFrame(rows, "key long, node binary, sig binary, label binary, size long, pos long")
-    assert minhash._Linker(None, 5, 75).across(members, members, "node > v_node").count() == 1
