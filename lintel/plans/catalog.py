@@ -14,7 +14,7 @@ from lintel.functions import urls
 from lintel.functions import vocabulary as V
 from lintel.operators import changes, documents, graph, harvest, packs, rules, signals, sinks, verdicts
 from lintel.plans import review_queries  # noqa: F401
-from lintel.plans.made_pages import MADE
+from lintel.plans.made_pages import EVIDENCE, MADE, SUBJECT_COUNTS
 from lintel.plans.registry import ORACLES, QUERIES, Query, query, values
 from lintel.plans.seeds import SEEDS
 from lintel.plans.storage import materialize, table
@@ -114,6 +114,19 @@ def pages_population(spark, sf_dir):
     return harvest.population(harvest.harvest(_elements(spark, sf_dir, ["tag", "attrs", "text"]), ["headings", "declaredLang"]))
 
 
+@query(
+    "WITH m AS (SELECT s_suppkey AS k FROM supplier), n AS ("
+    + " UNION ALL ".join(f"SELECT '{subject}' AS subject, k, CAST({n} AS BIGINT) AS n FROM m" for subject, n in SUBJECT_COUNTS.items())
+    + ") SELECT subject, k AS page_id, n AS occurrences FROM n WHERE n > 0"
+)
+def made_subjects(spark, sf_dir):
+    """Fourteen subjects harvested from pages made from table rows."""
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    pages = made.select(F.col("k").alias("page_id"), F.expr(EVIDENCE).alias("html"))
+    rows = harvest.harvest(elements(pages), list(SUBJECT_COUNTS))
+    return rows.groupBy("subject", "page_id").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-z]+://[^/?]*(?:/[^?]*)?/)index\\.x?html?(\\?|$)', '\\1\\2'), '^([a-z]+://[^/?]+)(\\?|$)', '\\1/\\2') AS canonical FROM pages")
 def pages_canonical(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
