@@ -7,12 +7,14 @@ the count and the lookup; texts move once, keyed by row.
 
 Skew: lines found very often ("hot") are at most lines / hot_share in number, so their keepers
 are broadcast under that proven bound; the others join by hash. A hot line therefore never
-meets in one task.
+meets in one task. A line that stands very often but in too few documents (one huge document, rows without
+id) finds no partner in that join, whose sides are shuffled tables that adaptive execution splits.
 
 Edge cases: a null or empty text is one empty line (kept, as its key is short); rows with a
 null id are not counted as documents, and lose a dropped line; rows that repeat an id count as
 one document and all keep a line whose largest id they carry; an empty table gives an empty
-result; other columns pass through untouched, n_chars follows the text.
+result; a very long text is split like any other; other columns travel packed, so that none can clash, and
+pass through untouched, but n_chars follows the text.
 """
 
 from __future__ import annotations

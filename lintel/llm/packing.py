@@ -14,8 +14,9 @@ kept in bounded memories; a probe and tests hold the ids to the whole tokenizer'
 Scale: one shuffle of 2 (or 4) bytes a token. The number of groups follows from the bytes of all
 texts, so a group fits in memory at any size.
 
-Edge cases: a null or empty text is the end id alone; repeated rows are separate documents;
-texts longer than a sequence are cut; an empty table gives an empty result.
+Edge cases: a null or empty text is the end id alone; repeated rows are separate documents; a null id is
+kept; texts longer than a sequence, however long, are cut; pieces of equal length go by row key, checksum and
+start, so reruns agree; columns besides doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
