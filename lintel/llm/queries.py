@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintel.llm import ann, embedding_dedup, licenses, line_dedup, minhash, mixing, packing, quality, sharding, substrings
+from lintel.llm import ann, conversations, embedding_dedup, filter_audit, licenses, line_dedup, minhash, mixing, packing, quality, sharding, substrings, token_counts
 from lintel.plans.storage import table
 
 
@@ -50,8 +50,21 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_mixing, op2_licenses, op3_nearest, op4_lines, op5_packing, op6_substrings, op7_sharding, op8_quality, op9_minhash, op10_embeddings]
+    found += [op11_conversations, op12_filters, op13_tokens]
     return {f.__name__: f for f in found}
 
 
@@ -62,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_lines": line_dedup.ORACLE,
         "op9_minhash": minhash.ORACLE,
         "op10_embeddings": embedding_dedup.ORACLE,
+        "op12_filters": filter_audit.ORACLE,
     }
