@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lintel.functions import urls
 from lintel.functions import vocabulary as V
 from lintel.operators import changes, documents, graph, harvest, packs, rules, signals, sinks, verdicts
-from lintel.plans import attribution_queries, contract_queries, review_queries  # noqa: F401
-from lintel.plans.made_pages import EVIDENCE, MADE, SUBJECT_COUNTS
+from lintel.plans import attribution_queries, contract_queries, review_queries, state_queries  # noqa: F401
+from lintel.plans.made_pages import APPLIES, EVIDENCE, MADE, SUBJECT_COUNTS
 from lintel.plans.registry import ORACLES, QUERIES, Query, query, values
 from lintel.plans.seeds import SEEDS
 from lintel.plans.storage import materialize, table
@@ -172,19 +172,14 @@ _NORMATIVE = f"({ON_PAGES['missing-main-landmark']})"
 _ADVISED = f"({ON_PAGES['presentational-spacing']})"
 _CRITERIA = values("sc VARCHAR, guideline VARCHAR, level VARCHAR, how VARCHAR", [(sc, ".".join(sc.split(".")[:2]), level, how) for sc, (level, how) in V.CRITERIA.items()])
 _DECLARED = "('1.2.1','1.2.2','1.2.3','1.2.4','1.2.5','2.5.4','3.3.1','3.3.2','3.3.3','3.3.4','3.3.7','3.3.8','1.3.5','2.1.4','2.2.1','2.2.2','2.3.1','2.5.1','2.5.2','2.5.7')"
-_APPLICABLE = """
-SELECT unnest(['1.2.1','1.2.2','1.2.3','1.2.4','1.2.5']) AS sc, bool_or(regexp_matches(html, '<(audio|video|track|source|object|embed|iframe)[ >]')) AS ok FROM pages
-UNION ALL SELECT unnest(['3.3.1','3.3.2','3.3.3','3.3.4','3.3.7','3.3.8','1.3.5']), bool_or(regexp_matches(html, '<(input|select|textarea|form|fieldset|output|datalist)[ >]')) FROM pages
-UNION ALL SELECT '2.5.4', bool_or(regexp_matches(html, '(?i)\\b(devicemotion|deviceorientation|DeviceMotionEvent|DeviceOrientationEvent|Accelerometer|Gyroscope|requestPermission)\\b')) FROM pages
-UNION ALL SELECT '2.1.4', bool_or(regexp_matches(html, '(?i)\\b(key|code|charCode|which)\\s*===?\\s*["''][a-z0-9]["'']|\\baccessKey\\b|\\baccesskey=')) FROM pages
-UNION ALL SELECT '2.2.1', bool_or(regexp_matches(html, '(?i)\\b(setTimeout|setInterval)\\s*\\(|\\b(sessionTimeout|idleTimeout|expiresIn|maxAge|session_max)\\b|http-equiv="refresh"')) FROM pages
-UNION ALL SELECT '2.2.2', bool_or(regexp_matches(html, '(?i)\\b(carousel|autoplay|requestAnimationFrame|animation-iteration-count|\\.gif["'']|swiper\\b)|<(marquee|blink|video|audio)[ >]')) FROM pages
-UNION ALL SELECT '2.3.1', bool_or(regexp_matches(html, '<(video|img|svg|canvas|embed|object|blink|script)[ >]')) FROM pages
-UNION ALL SELECT '2.5.1', bool_or(regexp_matches(html, '(?i)\\b(pinch|swipe|hammerjs|panstart|touchmove)\\b')) FROM pages
-UNION ALL SELECT '2.5.2', bool_or(regexp_matches(html, '(?i)\\bon(MouseDown|PointerDown|TouchStart)\\s*=')) FROM pages
-UNION ALL SELECT '2.5.7', bool_or(regexp_matches(html, 'draggable=|onDragStart|onDrop')) FROM pages
-UNION ALL SELECT '1.4.2', bool_or(regexp_matches(html, '<(audio|video)[ >]')) FROM pages
-UNION ALL SELECT unnest(['2.4.2','3.1.1']), bool_or(html LIKE '%<html%') FROM pages
+#: The given pages hold no code but their own script element, so that only what elements tell can apply to them; pages made from rows hold the rest.
+_HOLDS = lambda *tags: " OR ".join(f"html LIKE '%<{t}%'" for t in tags)
+_APPLICABLE = f"""
+SELECT unnest(['1.2.1','1.2.2','1.2.3','1.2.4','1.2.5']) AS sc, bool_or({_HOLDS('audio', 'video')}) AS ok FROM pages
+UNION ALL SELECT unnest(['1.3.5','3.3.1','3.3.2','3.3.3','3.3.4','3.3.7','3.3.8']), bool_or({_HOLDS('input', 'select', 'form')}) FROM pages
+UNION ALL SELECT unnest(['1.4.2','2.2.2']), bool_or({_HOLDS('audio', 'video')}) FROM pages
+UNION ALL SELECT '2.3.1', bool_or({_HOLDS('script', 'img')}) FROM pages
+UNION ALL SELECT unnest(['2.4.2','3.1.1']), bool_or({_HOLDS('html')}) FROM pages
 """
 _STATUS = f"""
 WITH f AS (SELECT sc, sum(n) FILTER (NOT advisory) AS n, sum(n) FILTER (advisory) AS a FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY sc),
@@ -213,6 +208,15 @@ def _audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return found, verdicts.criterion_status(found, verdicts.applicable_anywhere(parsed, pages)), pages
 
 
+@query(f"WITH a AS ({values('i BIGINT, sc VARCHAR', [(i, sc) for i, (_, found) in enumerate(APPLIES) for sc in found])}) SELECT c_custkey AS page_id, sc FROM customer JOIN a ON a.i = c_custkey % {len(APPLIES)}")
+def made_applicable(spark, sf_dir):
+    """Which criteria apply to each page made from a row, one page in turn for every branch that decides it."""
+    k = F.col("c_custkey")
+    markup = F.element_at(F.array(*[F.lit(html) for html, _ in APPLIES]), (k % len(APPLIES) + 1).cast("int"))
+    pages = table(spark, sf_dir, "customer").select(k.alias("page_id"), markup.alias("html"))
+    return verdicts.applicable_on_pages(elements(pages, ["tag", "attrs"]), pages)
+
+
 @query(f"SELECT msg_id AS rule_id, severity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM {_NORMATIVE} UNION ALL SELECT * FROM {_ADVISED}) GROUP BY 1, 2")
 def audit_severities(spark, sf_dir):
     return _findings(spark, sf_dir)[0].groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
