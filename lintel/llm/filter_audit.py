@@ -7,7 +7,7 @@ order, which Spark sums.
 
 Scale: texts are read once and never shuffled; what moves are ids, 32-byte digests and masks. Identical texts meet as
 digests with the smallest id of each. Digests and ids that very many rows share are looked up by a bounded
-broadcast (:func:`lintel.llm.common.lookup`). A task holds the arrays of at most ``parts_held`` parts (25 kB each)
+broadcast (:func:`lintel.operators.skew.lookup`). A task holds the arrays of at most ``parts_held`` parts (25 kB each)
 and then hands them on.
 
 Edge cases: a null text is empty, and fails A alone of the first four; a null source is the part '' (as an empty one); a null doc_id is
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import lookup
+from lintel.operators.skew import lookup
 from lintel.plans.storage import materialize, small_batches
 
 FILTERS = "ABCDE"

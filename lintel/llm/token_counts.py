@@ -9,7 +9,7 @@ Normalising is what surely leaves a tokenizer's ids as they are: a missing text
 
 Scale: texts move only for misses. A few misses (at most ``small_misses`` digests, 32 bytes each) are broadcast, so that a warm run
 shuffles no other text; more of them meet the texts in the shuffle that makes texts distinct, after copies have collapsed on the map side.
-A digest that very many rows share is looked up by a bounded broadcast (:func:`lintel.llm.common.lookup`).
+A digest that very many rows share is looked up by a bounded broadcast (:func:`lintel.operators.skew.lookup`).
 Long texts are counted in windows cut where this tokenizer surely cuts too, in batches bounded by bytes.
 
 Recovery: keys and misses are written tables; the cache is appended by Spark's committer, whole or not at all. Two
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm.common import lookup
+from lintel.operators.skew import lookup
 from lintel.plans.storage import application_folder, materialize, small_batches
 
 _WINDOW = 1 << 20
@@ -145,10 +145,12 @@ def fill_cache(docs: DataFrame, wanted: DataFrame, path: str, cache: str, versio
     if not n:
         return 0
     texts = docs.select(content_digest(F.col("text")).alias("content"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    if n <= small_misses:
+    # On a cold cache everything is missing and nothing has to be told apart.
+    some = n < wanted.count()
+    if some and n <= small_misses:
         texts = texts.join(F.broadcast(misses), "content", "left_semi")
     texts = texts.groupBy("content").agg(F.first("text").alias("text"))
-    if n > small_misses:
+    if some and n > small_misses:
         texts = texts.join(misses, "content", "left_semi")
     counted = texts.mapInArrow(_encode(path), "content binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)

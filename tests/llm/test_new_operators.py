@@ -257,11 +257,11 @@ def test_filter_audit(spark, data):
 
 def test_filter_audit_hot_and_empty(spark, monkeypatch):
     """Hot digests and ids go by broadcast, the rest by shuffle: the same rows."""
-    from lintel.llm import common
+    from lintel.operators import skew
 
     docs, labels = spark.createDataFrame(HOT, SCHEMA), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     want = brute_audit(HOT, LABELS)
-    monkeypatch.setattr(common, "max", lambda a, b: 3, raising=False)
+    monkeypatch.setattr(skew, "max", lambda a, b: 3, raising=False)
     assert sorted(rows(filter_audit.filter_audit(docs, labels))) == sorted(want)
     monkeypatch.undo()
     none = spark.createDataFrame([], SCHEMA)
@@ -318,9 +318,9 @@ def test_token_counts(spark, data, whole, monkeypatch):
     got = token_counts.count_tokens(docs)
     assert sorted(map(repr, rows(got))) == sorted(map(repr, want))
     assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "bigint", "bigint", "boolean"]
-    from lintel.llm import common
+    from lintel.operators import skew
 
-    monkeypatch.setattr(common, "max", lambda a, b: 2, raising=False)
+    monkeypatch.setattr(skew, "max", lambda a, b: 2, raising=False)
     assert sorted(map(repr, rows(token_counts.count_tokens(docs, small_misses=0)))) == sorted(map(repr, want))
 
 
@@ -331,9 +331,12 @@ def test_cache_encodes_misses_only(spark, tmp_path, whole):
     distinct = lambda data: len({r[1] or "" for r in data})
     stored = lambda: spark.read.schema(token_counts.CACHE).parquet(cache)
     assert rows(token_counts.count_tokens(spark.createDataFrame([], SCHEMA), cache=cache)) == [] and not os.path.exists(f"{tmp_path}/cache")
-    token_counts.count_tokens(half, cache=cache).collect()
+    token_counts.count_tokens(half, cache=cache, small_misses=0).collect()
     assert stored().count() == distinct(ROWS[: len(ROWS) // 2])
     want = brute_tokens(ROWS, whole)
+    once = f"file://{tmp_path}/once"
+    token_counts.count_tokens(half, cache=once).collect()
+    assert sorted(map(repr, rows(token_counts.count_tokens(docs, cache=once, small_misses=0)))) == sorted(map(repr, want))
     assert sorted(map(repr, rows(token_counts.count_tokens(docs, cache=cache)))) == sorted(map(repr, want))
     assert stored().count() == distinct(ROWS)
     # A count in the cache is believed, and not made anew; twice the same digest does not repeat a document.
