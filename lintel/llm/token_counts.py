@@ -35,7 +35,8 @@ from lintel.operators.skew import lookup
 from lintel.plans.storage import application_folder, materialize, small_batches
 
 _WINDOW = 1 << 20
-_BATCH = 4 << 20
+#: Characters that are encoded at a time: the library holds about thirty times as much meanwhile.
+_BATCH = 1 << 18
 CACHE = "content binary, n_tokens long, tokenizer string"
 _loaded: dict = {}
 
