@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
-from lintel.operators import changes, checks, review
+from lintel.operators import changes, checks, ledger, review, verdicts
 from lintel.plans.registry import query, values
 from lintel.plans.storage import table
 
@@ -400,3 +400,52 @@ def findings_vanished(spark, sf_dir):
 def ledger_merged(spark, sf_dir):
     fresh = _verdicts(spark, sf_dir)[0].select("sc", "verdict")
     return changes.merged_ledger(_criteria(spark).select("sc", F.lit("old").alias("verdict")), fresh)
+
+
+# --- tickets and stored citations
+
+_PLAN = (
+    "t AS (SELECT sc, CASE WHEN page_id % 7 <> 0 THEN 'p' || page_id END AS page, 'f' || seq % 23 AS file, severity, advisory FROM f), "
+    f"g AS (SELECT sc, page, file, grouping(sc) AS a, grouping(page) AS b, grouping(file) AS c, count(*) AS occurrences, min({_RANK}) AS worst, bool_and(advisory) AS advisory FROM t GROUP BY GROUPING SETS ((sc), (page), (page, sc), (file), ())), "
+    "n AS (SELECT CASE WHEN a = 0 AND b = 0 THEN 'page-criterion' WHEN a = 0 THEN 'criterion' WHEN b = 0 THEN 'page' WHEN c = 0 THEN 'file' ELSE 'single' END AS grain, * FROM g WHERE b = 1 OR page IS NOT NULL)"
+)
+
+
+@query(f"{_WITH}, {_PLAN} SELECT grain, sc, page, file, concat_ws(' ', grain, page, sc, file) AS title, occurrences, CASE worst WHEN 0 THEN 'bloquant' WHEN 1 THEN 'majeur' ELSE 'mineur' END AS severity, advisory FROM n")
+def review_ticket_plan(spark, sf_dir):
+    """The tickets of all five grains."""
+    found = _findings(spark, sf_dir)
+    page = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    return verdicts.ticket_plan(found.select("sc", page.alias("page"), F.concat(F.lit("f"), (F.col("seq") % 23).cast("string")).alias("file"), "severity", "advisory"))
+
+
+#: Stored anchors are orders; today's evidence has them moved, gone, or joined by others on their line.
+_ANCHORS = (
+    "o AS (SELECT o_orderkey AS k, 'c' || o_custkey % 9 AS sc FROM orders), "
+    "old AS (SELECT k AS nr, sc, CASE WHEN k % 6 = 0 THEN '/old/run/shots/pages/p' || k % 5 || '/dom.html' ELSE '/old/src/f' || k % 40 || '.html' END AS file, CASE WHEN k % 6 = 0 THEN 'shots/pages/p' || k % 5 || '/dom.html' ELSE 'src/f' || k % 40 || '.html' END AS id, "
+    "k % 300 AS line, CASE WHEN k % 2 = 0 THEN 'a' ELSE '' END AS sel, 'text ' || k % 70 AS txt FROM o), "
+    "now AS (SELECT k AS seq, sc, CASE WHEN k % 6 = 0 THEN 'shots/pages/p' || k % 5 || '/dom.html' ELSE 'src/f' || k % 40 || '.html' END AS file, k % 300 + k % 3 AS line, CASE WHEN k % 2 = 0 THEN 'a' ELSE '' END AS sel, 'text ' || k % 70 AS txt FROM o WHERE k % 4 <> 0 "
+    "UNION ALL SELECT k + 10000000, sc, 'src/f' || k % 40 || '.html', k % 300, 'b', CASE WHEN k % 8 = 0 THEN 'text ' || k % 70 ELSE 'other' END FROM o WHERE k % 4 = 0 AND k % 6 <> 0), "
+    "e1 AS (SELECT sc, file, sel, txt, max_by(line, seq) AS line FROM now GROUP BY ALL), e2 AS (SELECT sc, file, line, count(*) AS n FROM now GROUP BY ALL), e3 AS (SELECT sc, file, line, txt FROM now GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH {_ANCHORS} SELECT nr AS \"at\", CASE WHEN e1.line IS NOT NULL OR e2.n = 1 OR e3.txt IS NOT NULL OR CAST(regexp_extract(old.id, '[fp]([0-9]+)[./]', 1) AS INTEGER) < 30 THEN old.id ELSE old.file END AS file, "
+    "CAST(coalesce(e1.line, old.line) AS INTEGER) AS line, CASE WHEN e1.line IS NOT NULL THEN 'exact' WHEN e2.n = 1 THEN 'place' WHEN e3.txt IS NOT NULL THEN 'text' WHEN CAST(regexp_extract(old.id, '[fp]([0-9]+)[./]', 1) AS INTEGER) < 30 THEN 'file' ELSE 'kept' END AS how "
+    "FROM old LEFT JOIN e1 ON e1.sc = old.sc AND e1.file = old.id AND e1.sel = old.sel AND e1.txt = old.txt LEFT JOIN e2 ON e2.sc = old.sc AND e2.file = old.id AND e2.line = old.line "
+    "LEFT JOIN e3 ON e3.sc = old.sc AND e3.file = old.id AND e3.line = old.line AND e3.txt = old.txt"
+)
+def review_reanchored(spark, sf_dir):
+    """Where stored citations stand in today's evidence."""
+    k = F.col("k")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), text("c", F.col("o_custkey") % 9).alias("sc"))
+    shot, file = text("shots/pages/p", k % 5, "/dom.html"), text("src/f", k % 40, ".html")
+    sel, said = F.when(k % 2 == 0, "a"), text("text ", k % 70)
+    line = (k % 300).cast("int")
+    stored = rows.select(k.alias("at"), "sc", F.when(k % 6 == 0, text("/old/run/", shot)).otherwise(text("/old/", file)).alias("file"), line.alias("line"), sel.alias("selector"), said.alias("snippet"))
+    kept = rows.where(k % 4 != 0).select(k.alias("seq"), "sc", F.when(k % 6 == 0, shot).otherwise(file).alias("file"), (line + k % 3).cast("int").alias("line"), sel.alias("selector"), F.concat(F.lit(" "), said, F.lit("\n")).alias("snippet"))
+    new = rows.where((k % 4 == 0) & (k % 6 != 0)).select((k + 10000000).alias("seq"), "sc", file.alias("file"), line.alias("line"), F.lit("b").alias("selector"), F.when(k % 8 == 0, said).otherwise("other").alias("snippet"))
+    known = spark.range(40).where("id < 30").select(text("src/f", F.col("id"), ".html").alias("file")).unionByName(spark.range(5).select(text("shots/pages/p", F.col("id"), "/dom.html").alias("file")))
+    return ledger.reanchored(stored, kept.unionByName(new), known, "shots/pages", root="/old")
