@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
-from lintel.operators import changes, checks, ledger, review, verdicts
+from lintel.operators import changes, checks, ledger, packs, review, verdicts
 from lintel.plans.registry import query, values
 from lintel.plans.storage import table
 
@@ -449,3 +449,54 @@ def review_reanchored(spark, sf_dir):
     new = rows.where((k % 4 == 0) & (k % 6 != 0)).select((k + 10000000).alias("seq"), "sc", file.alias("file"), line.alias("line"), F.lit("b").alias("selector"), F.when(k % 8 == 0, said).otherwise("other").alias("snippet"))
     known = spark.range(40).where("id < 30").select(text("src/f", F.col("id"), ".html").alias("file")).unionByName(spark.range(5).select(text("shots/pages/p", F.col("id"), "/dom.html").alias("file")))
     return ledger.reanchored(stored, kept.unionByName(new), known, "shots/pages", root="/old")
+
+
+# --- the criteria of a standards pack, made from customers
+
+_SCS = "[" + ", ".join(f"'{sc}'" for sc, *_ in _DIM) + "]"
+_MATCH = "(p = '*' OR rule_id = p OR (p LIKE '%-*' AND starts_with(rule_id, left(p, length(p) - 1))))"
+_RESULTS = (
+    f"q AS (SELECT c_custkey AS k, 'k' || c_custkey AS id, c_custkey % 7 AS theme, CASE WHEN c_custkey % 29 = 0 THEN ['9.9.9'] ELSE list_distinct([{_SCS}[c_custkey % {_N} + 1], {_SCS}[(c_custkey * 3 + 1) % {_N} + 1]]) END AS wcag, "
+    "CASE c_custkey % 4 WHEN 1 THEN ['click-0', 'view-1'] WHEN 2 THEN ['error-*'] WHEN 3 THEN ['signup-2', 'click-1'] END AS patterns, c_custkey % 31 = 0 AS own, c_custkey % 6 = 0 AS judged, CASE c_custkey % 5 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS silent FROM customer), "
+    "fs AS (SELECT sc, rule_id || '-' || seq % 3 AS rule_id, advisory FROM f WHERE seq % 97 = 0), fo AS (SELECT sc, rule_id, CASE rule_id WHEN 'view-1' THEN TRUE WHEN 'click-1' THEN FALSE ELSE advisory END AS advisory FROM fs), "
+    "mp AS (SELECT k, patterns, silent, unnest(wcag) AS sc FROM q), "
+    "fa AS (SELECT mp.k, count(s.sc) AS held, coalesce(bool_or(s.status = 'NC'), FALSE) AS nc, coalesce(bool_or(s.status = 'manual'), FALSE) AS op, coalesce(bool_or(s.status = 'C' AND NOT s.inapplicable), FALSE) AS c, coalesce(bool_and(s.inapplicable), TRUE) AS idle, bool_and(mp.sc = '9.9.9') AS outside FROM mp LEFT JOIN s ON s.sc = mp.sc GROUP BY mp.k), "
+    f"pr AS (SELECT mp.k, silent, rule_id, advisory, CASE WHEN rule_id = 'click-0' THEN 'decisive-nc' WHEN rule_id LIKE 'click-%' THEN 'candidate' ELSE 'decisive-nc' END AS effect FROM mp JOIN fo ON fo.sc = mp.sc WHERE patterns IS NOT NULL AND len(list_filter(patterns, lambda p: {_MATCH})) > 0), "
+    "hi AS (SELECT k, count(*) FILTER (NOT advisory AND (silent IS NULL OR effect = 'decisive-nc')) AS normative, count(*) FILTER (NOT advisory AND silent IS NOT NULL AND effect = 'candidate') AS candidates FROM pr GROUP BY k), "
+    "z0 AS (SELECT q.*, coalesce(normative, 0) AS normative, coalesce(candidates, 0) AS candidates, held, nc, op, c, idle, outside AND NOT own AS unaudited, CASE WHEN nc THEN 'NC' WHEN c THEN 'C' WHEN op THEN 'manual' ELSE 'C' END AS summed, k % 8 = 3 AS absent, k % 9 = 1 AS seen, silent IS NOT NULL AND NOT silent AS unproven FROM q JOIN fa USING (k) LEFT JOIN hi USING (k)), "
+    "z1 AS (SELECT *, summed = 'C' AND (held = 0 OR idle) AS emptied FROM z0), "
+    "z2 AS (SELECT *, CASE WHEN unaudited THEN 'manual' WHEN patterns IS NULL AND summed = 'manual' AND absent THEN 'C' WHEN patterns IS NULL THEN summed WHEN normative > 0 THEN 'NC' WHEN absent THEN 'C' WHEN nc THEN 'manual' WHEN held = 0 AND own THEN 'manual' WHEN emptied AND seen THEN 'manual' ELSE summed END AS a, "
+    "CASE WHEN unaudited THEN FALSE WHEN patterns IS NULL AND summed = 'manual' AND absent THEN TRUE WHEN patterns IS NULL THEN emptied WHEN normative > 0 THEN FALSE WHEN absent THEN TRUE WHEN nc THEN FALSE WHEN held = 0 AND own THEN FALSE WHEN emptied AND seen THEN FALSE ELSE emptied END AS ga FROM z1), "
+    "z3 AS (SELECT *, k % 13 = 0 AND EXISTS (SELECT 1 FROM fs WHERE rule_id = 'signup-0' AND NOT advisory) AS foreign_, (judged OR unproven) AND a = 'C' AND NOT ga AS guarded FROM z2), "
+    "z4 AS (SELECT *, CASE WHEN foreign_ THEN 'NC' WHEN guarded THEN 'manual' ELSE a END AS b, ga AND NOT foreign_ AS gb FROM z3), "
+    "z5 AS (SELECT *, b = 'manual' AND NOT judged AND NOT unaudited AND NOT unproven AND k % 4 = 1 AS rescued FROM z4), "
+    "z6 AS (SELECT *, CASE WHEN rescued THEN 'C' ELSE b END AS d, CASE WHEN k % 37 = 0 THEN (k // 37) % 4 END AS r FROM z5)"
+)
+
+
+@query(
+    f"{_WITH}, {_RESULTS} SELECT id, theme, CASE r WHEN 0 THEN CASE WHEN d = 'NC' THEN 'NC' ELSE 'manual' END WHEN 1 THEN 'C' WHEN 2 THEN 'C' WHEN 3 THEN 'NC' ELSE d END AS status, "
+    "CASE WHEN r = 1 THEN TRUE WHEN r IS NOT NULL THEN FALSE ELSE gb AND NOT rescued END AS inapplicable, normative, candidates, CASE WHEN r IS NOT NULL THEN 'human' WHEN rescued THEN 'scan' END AS decided_by FROM z6"
+)
+def pack_results(spark, sf_dir):
+    """A standards pack derived from an audit: all rungs of the ladder, for as many criteria as there are customers."""
+    k = F.col("k")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), text("k", F.col("c_custkey")).alias("id"))
+    scs = F.array(*[F.lit(sc) for sc, *_ in _DIM])
+    nth = lambda n: F.element_at(scs, (n % _N + 1).cast("int"))
+    strings = lambda *s: F.array(*[F.lit(x) for x in s])
+    silent = F.when(k % 5 == 0, F.lit(False)).when(k % 5 == 1, F.lit(True))
+    pack = keys.select(
+        "id", (k % 7).alias("theme"), F.when(k % 29 == 0, strings("9.9.9")).otherwise(F.array(nth(k), nth(k * 3 + 1))).alias("wcag"),
+        F.when(k % 4 == 1, strings("click-0", "view-1")).when(k % 4 == 2, strings("error-*")).when(k % 4 == 3, strings("signup-2", "click-1")).alias("patterns"),
+        (k % 31 == 0).alias("own_rules"), (k % 6 == 0).alias("judgment"), silent.alias("silent"),
+    )
+    found = _findings(spark, sf_dir).where("seq % 97 = 0").select("sc", F.concat_ws("-", "rule_id", (F.col("seq") % 3).cast("string")).alias("rule_id"), "advisory")
+    effects = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(p).alias("pattern"), F.lit(e).alias("effect")) for i, (p, e) in enumerate([("click-0", "decisive-nc"), ("click-*", "candidate"), ("*", "decisive-nc")])])
+    verdict = F.element_at(strings("manual", "NA", "C", "NC"), (F.floor(k / 37) % 4 + 1).cast("int"))
+    return packs.results(
+        pack, _criteria(spark), found, spark.createDataFrame([("view-1", True), ("click-1", False)], "rule_id string, advisory boolean"), spark.createDataFrame([("9.9.9",)], "sc string"),
+        keys.where((k % 5 < 2)).select("id", F.explode(effects).alias("e")).select("id", "e.*"), keys.where(k % 13 == 0).select("id", F.lit("signup-0").alias("rule_id")), keys.where(k % 8 == 3), keys.where(k % 9 == 1),
+        spark.createDataFrame([("click-0", True), ("view-1", True), ("signup-2", True), ("click-1", False)], "rule_id string, everywhere boolean"), keys.where(k % 37 == 0).select("id", verdict.alias("status"), F.lit("human").alias("decided_by")),
+    )
