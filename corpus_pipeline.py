@@ -1,4 +1,17 @@
-"""A corpus pipeline: classifier, line dedup, near-dedup, mixing, packing, each over all its predecessor kept."""
+"""A corpus pipeline: classifier, line dedup, near-dedup, mixing, packing, each over all its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``, extra ones included; each is written as Parquet and read again.
+
+Edge cases, stage by stage:
+
+* quality classifier: a null or empty text, or one of white space, is rejected; equal texts are kept or rejected together; texts of any length are scored whole.
+* line dedup: a null text stays null; rows that repeat an id keep a line whose largest id they carry; null ids lose a shared line; n_chars follows the text.
+* near-dedup: of texts that link, the row of the smallest id stays, of rows that agree in all of it one; texts without words link with nothing and stay.
+* mixing: repeated rows are drawn each by itself; null sources are a source; a row comes at most twice.
+* packing: a null or empty text is the end id alone; texts longer than a sequence are cut; ties go by row key, checksum and start.
+
+An empty table gives an empty result. Columns of any other name travel packed, so that none can clash.
+"""
 
 from __future__ import annotations
 
