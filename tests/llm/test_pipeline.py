@@ -72,6 +72,25 @@ def test_packing(stages):
     assert max(lengths.values()) <= 2048
 
 
+def test_an_empty_table_passes_every_stage(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/nowhere")
+        assert out.count() == 0, name
+        docs = spark.createDataFrame([], out.schema)
+
+
+def test_rows_without_ids_and_with_clashing_columns(spark):
+    """Many equal rows with a null id, and extra columns that operators might use themselves."""
+    rows = edge_rows() + [(None, "the same words stand here again and again, and nothing tells these rows apart.", "en", "src1", 77, 1, "c", 2, "s", 3, 4)] * 60
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/nowhere")
+        assert docs.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/nowhere").count() > 0
+
+
 def test_the_rest_works_without_these_folders(tmp_path):
     import os
     import shutil
