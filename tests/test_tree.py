@@ -103,3 +103,19 @@ def test_frames_read_few_columns(spark):
     slim = findings(elements(pages, columns), ["aria-required-parent", "th-no-data-cells"])
     whole = findings(elements(pages), ["aria-required-parent", "th-no-data-cells"])
     assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 2
+
+
+def test_firsts_flags_and_as_of_matches(nodes):
+    rows, df = nodes
+    outer, inner = [r for r in rows if r[3] == "a"], [r for r in rows if r[3] != "c"]
+    below = {(p, a): [b for q, b, _, _ in inner if p == q and a < b <= last] for p, a, last, _ in outer}
+    got = tree.first_below(df.where("kind = 'a'"), df.where("kind <> 'c'"), 3, F.concat("kind", F.col("ord").cast("string"))).collect()
+    kinds = {(p, a): kind for p, a, _, kind in rows}
+    assert {(r["page_id"], r["ord"]): (r["n"], [(x["ord"], x["value"]) for x in r["first"]]) for r in got} == {(p, a): (len(b), [(x, f"{kinds[p, x]}{x}") for x in b[:3]]) for (p, a), b in below.items() if b}
+    flagged = df.where("kind <> 'c'").withColumn("flags", F.when(F.col("kind") == "a", 1).otherwise(2))
+    want = {(p, b): (1 if any(x[3] == "a" for x in over) else 0) | (2 if any(x[3] == "b" for x in over) else 0) for p, b, _, _ in rows if (over := [x for x in inner if x[0] == p and x[1] < b <= x[2]])}
+    assert {(r["page_id"], r["ord"]): r["flags"] for r in tree.flags_above(df.select("page_id", "ord"), flagged).collect()} == want
+    spread = df.withColumn("ord", F.col("ord") * 97)  # over many runs
+    want = {(p, b * 97): max([a * 97 for q, a, _, kind in rows if q == p and kind == "a" and a < b], default=None) for p, b, _, _ in rows}
+    got = tree.last_before(spread.select("page_id", "ord"), spread.where("kind = 'a'"), F.col("ord")).collect()
+    assert len(got) == len(rows) and {(r["page_id"], r["ord"]): r["value"] for r in got} == want
