@@ -15,9 +15,9 @@ Scale: the trees are partitioned by (tree, prefix); prefixes that no query has d
 are salted, many queries at one prefix are dealt in blocks, and counts and rankings add up over salts and
 blocks, so a task holds at most ``crowd`` vectors and ``asks`` queries. Vectors move as they were
 stored, once per tree in which a query asks for their prefix. Equal vectors are one class with their k + 1 smallest ids, and equal
-queries are answered once. A query that finds fewer than k in its partitions is answered by an
-exact scan, in blocks of queries, and so is one that has fewer than ``want`` matches at the prefix by which the
-trees are partitioned, where the ascent ends.
+queries are answered once. The prefix is as long as nine tenths of the sampled queries allow (``SPARSE``). The queries that
+have fewer than ``want`` matches there ascend on in a second partitioning by half of it, which only they pay for, and those
+that fall short there too, find fewer than k, or ascend to the root are compared with every row: one pass for all of them, by (salt of rows, block of queries).
 
 Edge cases: null, zero or non-finite vectors and vectors of another length than the commonest
 take no part, nor do rows with a null id; rows that share an id are one candidate, a query never finds its own
@@ -37,6 +37,8 @@ from lintel.llm.vectors import common_length, matrix, pack, planes, usable
 from lintel.plans.storage import materialize
 
 BITS, TREES = 32, 10
+#: Share of the sampled queries that may stop above the partitions' prefix.
+SPARSE = 0.1
 _TOP = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("lo", "<i8"), ("score", "<f8")])
 
 
@@ -68,11 +70,11 @@ def _best(scores: np.ndarray, c1, c2, lo, k: int) -> np.ndarray:
     return out[np.lexsort((lo, -scores))[:k]] if len(out) > k else out
 
 
-def _scan(forest: _Forest, k: int, queries: np.ndarray, measure: bool):
-    """Exact answers of a bounded block of queries over one partition, with prefix statistics."""
+def _scan(forest: _Forest, k: int, queries: np.ndarray):
+    """Exact answers of a bounded sample of queries over one partition, with prefix statistics."""
 
     def run(batches):
-        codes = forest.codes(queries, True) if measure else None
+        codes = forest.codes(queries, True)
         best = [np.zeros(0, _TOP) for _ in queries]
         depth: list[dict] = [{} for _ in queries]
         counts = np.zeros((len(queries), BITS + 1), np.int64)
@@ -81,14 +83,13 @@ def _scan(forest: _Forest, k: int, queries: np.ndarray, measure: bool):
                 continue
             x = matrix(batch.column("vec"), forest.dims)
             c1, c2, lo = (batch.column(c).to_numpy() for c in ("c1", "c2", "lo"))
-            own = forest.codes(x, False) if measure else None
-            place = {c: n for n, c in enumerate(zip(c1.tolist(), c2.tolist(), strict=True))} if measure else {}
+            own = forest.codes(x, False)
+            place = {c: n for n, c in enumerate(zip(c1.tolist(), c2.tolist(), strict=True))}
             for i, q in enumerate(queries):
                 found = _best((x * q).sum(axis=1), c1, c2, lo, k)
-                if measure:
-                    shared = _prefix_lengths(own, codes[i][None, :])
-                    counts[i] += np.bincount(shared.ravel(), minlength=BITS + 1)[::-1].cumsum()[::-1]
-                    depth[i] |= {c: int(shared[place[c]].max()) for c in zip(found["c1"].tolist(), found["c2"].tolist(), strict=True)}
+                shared = _prefix_lengths(own, codes[i][None, :])
+                counts[i] += np.bincount(shared.ravel(), minlength=BITS + 1)[::-1].cumsum()[::-1]
+                depth[i] |= {c: int(shared[place[c]].max()) for c in zip(found["c1"].tolist(), found["c2"].tolist(), strict=True)}
                 both = np.concatenate([best[i], found])
                 best[i] = both[np.lexsort((both["lo"], -both["score"]))[:k]]
         at = [(i, b) for i in range(len(queries)) for b in best[i]]
@@ -108,18 +109,12 @@ def _scan(forest: _Forest, k: int, queries: np.ndarray, measure: bool):
 _SCANNED = "q long, c1 long, c2 long, lo long, score double, depth long, counts array<bigint>"
 
 
-def _exact(classes: DataFrame, forest: _Forest, k: int, queries: np.ndarray, measure: bool) -> DataFrame:
-    raw = classes.mapInArrow(_scan(forest, k, queries, measure), _SCANNED)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "lo", "c1", "c2")
-    return raw, order
-
-
 def calibrate(classes: DataFrame, queries: DataFrame, forest: _Forest, k: int, sample: int, aim: float) -> tuple[int, int]:
     """(want, depth): candidates to gather, and the prefix length by which to partition."""
     picked = queries.orderBy(F.xxhash64("c1", "c2"), "c1").limit(sample).collect()
     vectors = np.array([r["vec"] for r in picked], np.float64)
-    raw, order = _exact(classes, forest, k + 1, vectors, True)
-    raw = materialize(raw, "calibration")
+    raw = materialize(classes.mapInArrow(_scan(forest, k + 1, vectors), _SCANNED), "calibration")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "lo", "c1", "c2")
     tops = raw.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).select("q", "c1", "c2", "depth").collect()  # sample x (k + 1) rows
     sums = raw.where("counts is not null").select("q", F.posexplode("counts").alias("d", "n")).groupBy("q", "d").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((len(picked), BITS + 1), np.int64)
@@ -134,20 +129,20 @@ def calibrate(classes: DataFrame, queries: DataFrame, forest: _Forest, k: int, s
         depths = [max([d for d in range(BITS + 1) if c[d] >= want], default=0) for c in counts]
         shares = [np.mean([x >= d for x in found]) for d, found in zip(depths, reach, strict=True) if found]
         if not shares or np.mean(shares) >= aim or not any(depths):
-            return want, max(0, min(depths, default=0))
+            return want, int(np.quantile(depths, SPARSE, method="lower")) if depths else 0
         want = want * 5 // 4 + 1
 
 
-def _keys(forest: _Forest, depth: int, query: bool):
+def _keys(forest: _Forest, depth: int, query: bool, trees: int):
     def run(batches):
         for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
             n = batch.num_rows
             if not n:
                 continue
-            codes = forest.codes(matrix(batch.column("vec"), forest.dims), query).ravel()
-            row = pa.array(np.repeat(np.arange(n), TREES))
+            codes = forest.codes(matrix(batch.column("vec"), forest.dims), query)[:, :trees].ravel() if depth or trees > 1 else np.zeros(n, np.int64)
+            row = pa.array(np.repeat(np.arange(n), trees))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(row) for c in ("c1", "c2", "lo", "vec")] + [pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(codes >> (BITS - depth)), pa.array(codes)],
+                [batch.column(c).take(row) for c in ("c1", "c2", "lo", "vec")] + [pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(codes >> (BITS - depth)), pa.array(codes)],
                 ["c1", "c2", "lo", "vec", "tree", "prefix", "code"],
             )
 
@@ -211,6 +206,52 @@ def top_classes(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rn", order).where(F.col("rn") <= k).select("q1", "q2", "c1", "c2")
 
 
+def _dealt(classes: DataFrame, queries: DataFrame, forest: _Forest, depth: int, trees: int, crowd: int, asks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries by (tree, prefix, salt, block): every query meets every row of its prefix in exactly one task."""
+    held = classes.schema["vec"].dataType.simpleString()
+    keyed = f"c1 long, c2 long, lo long, vec {held}, tree int, prefix long, code long"
+    index = classes.select("c1", "c2", "lo", "vec").mapInArrow(_keys(forest, depth, False, trees), keyed)
+    probes = queries.select("c1", "c2", "lo", "vec").mapInArrow(_keys(forest, depth, True, trees), keyed)
+    sized = lambda rows, most, name: rows.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    parts = sized(index, crowd, "salts").join(sized(probes, asks, "blocks"), ["tree", "prefix"])
+    parts = F.broadcast(materialize(parts, "parts"))  # at most 10 x 4096 rows
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = index.join(parts, ["tree", "prefix"]).withColumn("salt", F.pmod("c2", F.col("salts")).cast("int")).withColumn("block", each("blocks")).withColumn("ask", F.lit(False))
+    probes = probes.join(parts, ["tree", "prefix"]).withColumn("block", F.pmod("c1", F.col("blocks")).cast("int")).withColumn("salt", each("salts")).withColumn("ask", F.lit(True))
+    return index, probes
+
+
+_PART = ["tree", "prefix", "salt", "block"]
+_SLIM = [*_PART, "code", "c1", "c2", "ask"]
+
+
+def _searched(index: DataFrame, asking: DataFrame, forest: _Forest, k: int) -> DataFrame:
+    """The k best classes of each query (with its ``depth``) among the rows that share so much of its code."""
+    full = [*_SLIM, "lo", "vec"]
+    both = index.select(*full).withColumn("depth", F.lit(0)).unionByName(asking.select(*full, "depth"))
+    found = both.groupBy(*_PART).applyInArrow(_search(forest.dims, k), "q1 long, q2 long, c1 long, c2 long, lo long, score double")
+    return materialize(top_classes(found, k), "found")
+
+
+def ascend(classes: DataFrame, queries: DataFrame, forest: _Forest, k: int, want: int, depth: int, crowd: int, asks: int) -> tuple[DataFrame, DataFrame]:
+    """(best, rest): the k best of the queries whose ascent ends at prefixes of ``depth`` or longer, and the queries for which it does not."""
+    index, probes = _dealt(classes, queries, forest, depth, TREES, crowd, asks)
+    counted = index.select(*_SLIM).unionByName(probes.select(*_SLIM)).groupBy(*_PART).applyInArrow(_count(depth), "c1 long, c2 long, n array<bigint>")
+    summed = counted.groupBy("c1", "c2").agg(*[F.sum(F.col("n")[d]).alias(f"n{d}") for d in range(depth, BITS + 1)])
+    stop = F.lit(None).cast("int")
+    for d in range(max(1, depth), BITS + 1):  # at the root every row matches
+        stop = F.when(F.col(f"n{d}") >= want, d).otherwise(stop)
+    stops = materialize(summed.select("c1", "c2", stop.alias("depth")).where("depth is not null"), "depths")
+    best = _searched(index, probes.join(stops, ["c1", "c2"]), forest, k)
+    return best, materialize(queries.join(stops, ["c1", "c2"], "left_anti"), "rest")
+
+
+def compare_all(classes: DataFrame, queries: DataFrame, forest: _Forest, k: int, crowd: int, asks: int) -> DataFrame:
+    """The k best of every query among all rows, in one pass."""
+    index, probes = _dealt(classes, queries, forest, 0, 1, crowd, asks)
+    return _searched(index, probes.withColumn("depth", F.lit(0)), forest, k)
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100, aim: float = 0.95, seed: int = 97, crowd: int = 65536, asks: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by ``every``, their k nearest.
 
@@ -220,9 +261,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding", h1.alias("c1"), h2.alias("c2"))
     dims = common_length(rows, "embedding")
     rows = rows.where(F.size("embedding") == dims).withColumnRenamed("embedding", "vec")
-    first = F.dense_rank().over(Window.partitionBy("c1", "c2").orderBy("vec_id"))
-    classes = rows.withColumn("n", first).where(F.col("n") <= k + 1)
-    classes = classes.groupBy("c1", "c2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vec").alias("vec"))
+    # Ids of a class are first made distinct, each by itself; then every task keeps k + 1 of a class before the class meets.
+    order = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("vec_id"))
+    members = rows.select("c1", "c2", "vec_id").distinct().withColumn("n", order).where(F.col("n") <= k + 1)
+    members = members.groupBy("c1", "c2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = rows.groupBy("c1", "c2").agg(F.first("vec").alias("vec")).join(members, ["c1", "c2"])
     classes = materialize(classes.withColumn("lo", F.col("ids")[0]), "vector-classes")
     ids = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("c1").alias("q1"), F.col("c2").alias("q2")).distinct()
     asked = ids.select(F.col("q1").alias("c1"), F.col("q2").alias("c2")).distinct()
@@ -235,42 +278,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 100,
     forest = _Forest(dims, float(np.sqrt(stats["m"])), seed)
     want, depth = calibrate(classes, queries, forest, k, sample, aim)
     depth = min(depth, 12)  # at most 10 x 4096 partitions' sizes are looked up
-    held = classes.schema["vec"].dataType.simpleString()
-    keyed = f"c1 long, c2 long, lo long, vec {held}, tree int, prefix long, code long"
-    index = classes.select("c1", "c2", "lo", "vec").mapInArrow(_keys(forest, depth, False), keyed)
-    probes = queries.select("c1", "c2", "lo", "vec").mapInArrow(_keys(forest, depth, True), keyed)
-    sized = lambda rows, most, name: rows.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    parts = sized(index, crowd, "salts").join(sized(probes, asks, "blocks"), ["tree", "prefix"])
-    parts = F.broadcast(materialize(parts, "parts"))  # at most 10 x 4096 rows
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(parts, ["tree", "prefix"]).withColumn("salt", F.pmod("c2", F.col("salts")).cast("int")).withColumn("block", each("blocks")).withColumn("ask", F.lit(False))
-    probes = probes.join(parts, ["tree", "prefix"]).withColumn("block", F.pmod("c1", F.col("blocks")).cast("int")).withColumn("salt", each("salts")).withColumn("ask", F.lit(True))
-    part = ["tree", "prefix", "salt", "block"]
-    slim = [*part, "code", "c1", "c2", "ask"]
-    counted = index.select(*slim).unionByName(probes.select(*slim)).groupBy(*part).applyInArrow(_count(depth), "c1 long, c2 long, n array<bigint>")
-    summed = counted.groupBy("c1", "c2").agg(*[F.sum(F.col("n")[d]).alias(f"n{d}") for d in range(depth, BITS + 1)])
-    stop = F.lit(depth)
-    for d in range(depth, BITS + 1):
-        stop = F.when(F.col(f"n{d}") >= want, d).otherwise(stop)
-    short = F.col(f"n{depth}") < want if depth else F.lit(False)
-    stops = materialize(summed.select("c1", "c2", stop.cast("int").alias("depth"), short.alias("short")), "depths")
-    full = [*slim, "lo", "vec"]
-    asking = probes.select(*full).join(stops.where("not short").drop("short"), ["c1", "c2"])
-    found = index.select(*full).withColumn("depth", F.lit(0)).unionByName(asking).groupBy(*part).applyInArrow(_search(dims, k + 1), "q1 long, q2 long, c1 long, c2 long, lo long, score double")
-    best = materialize(top_classes(found, k + 1), "found")
-    # Queries that stop short of ``want`` at the partitions' prefix, or found too few, are answered by an exact scan, in blocks.
+    best, rest = ascend(classes, queries, forest, k + 1, want, depth, crowd, asks)
+    if depth > 1 and not rest.isEmpty():
+        more, rest = ascend(classes, rest, forest, k + 1, want, depth // 2, crowd, asks)
+        best = best.unionByName(more)
     total = classes.agg(F.sum(F.size("ids"))).first()[0]
     got = best.join(classes.select("c1", "c2", F.size("ids").alias("m")), ["c1", "c2"]).groupBy("q1", "q2").agg(F.sum("m").alias("m"))
-    poor = queries.join(got, (F.col("c1") == F.col("q1")) & (F.col("c2") == F.col("q2")), "left").where(F.coalesce("m", F.lit(0)) < min(k + 1, total)).select("c1", "c2", "vec")
-    poor = materialize(poor, "poor")
-    blocks = -(-poor.count() // 1000)
-    for b in range(blocks):
-        block = poor.where(F.pmod(F.xxhash64("c1", "c2"), F.lit(blocks)) == b).collect()  # about 1000 queries
-        if block:
-            raw, order = _exact(classes, forest, k + 1, np.array([r["vec"] for r in block], np.float64), False)
-            names = vectors.sparkSession.createDataFrame([(i, r["c1"], r["c2"]) for i, r in enumerate(block)], "q long, q1 long, q2 long")
-            top = raw.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1).join(names, "q").select("q1", "q2", "c1", "c2")
-            best = best.unionByName(materialize(top, "scanned")).distinct()
+    enough = got.where(F.col("m") >= min(k + 1, total)).select(F.col("q1").alias("c1"), F.col("q2").alias("c2"))
+    poor = materialize(queries.join(enough, ["c1", "c2"], "left_anti"), "poor")  # ``rest`` among them
+    if not poor.isEmpty():
+        best = best.unionByName(compare_all(classes, poor, forest, k + 1, crowd, asks)).distinct()
     # Final scores in one fixed order of summation, ids in place of classes.
     own = queries.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("vec").alias("qv"))
     scored = best.join(classes.select("c1", "c2", "ids", "vec"), ["c1", "c2"]).join(own, ["q1", "q2"])

@@ -59,3 +59,54 @@ def test_distance_filter_is_wide(spark):
     rows = [(7, bytes([i]), bytearray(s.tobytes()), bytes([i]), 0, 0) for i, s in enumerate(sigs)]
     members = spark.createDataFrame(rows, "key long, node binary, sig binary, label binary, size long, pos long")
     assert minhash._Linker(None, 5, 75).across(members, members, "node > v_node").count() == 1
+
+
+def test_scattered_vectors_leave_the_partitions_of_the_rest_alone(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = 5 * rng.standard_normal((40, 32))
+    tight = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.standard_normal((3000, 32))
+    passes = []
+    plain = ann.ascend
+
+    def watched(classes, queries, forest, k, want, depth, crowd, asks):
+        passes.append((depth, queries.count()))
+        return plain(classes, queries, forest, k, want, depth, crowd, asks)
+
+    monkeypatch.setattr(ann, "ascend", watched)
+    depths = []
+    for scattered in (0, 30):
+        passes.clear()
+        x = np.concatenate([tight, 3 * rng.standard_normal((scattered, 32))])
+        ids = [*range(3000), *range(20_000, 20_000 + 5 * scattered, 5)]  # one in four of the scattered is a query: 8 of 158
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x.astype(np.float32), strict=True)], "vec_id long, embedding array<float>")
+        got: dict[int, list] = {}
+        for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        depths.append(passes[0][0])
+        asked = [n for n, i in enumerate(ids) if i % 20 == 0]
+        assert passes[0][1] == len(asked) == len(got) and all(len(v) == 20 for v in got.values())
+        at = {i: n for n, i in enumerate(ids)}
+        x = x.astype(np.float32).astype(float)
+        shares = []
+        for n in asked:
+            s = x @ x[n]
+            s[n] = -np.inf
+            shares.append(len({at[i] for i in got[ids[n]]} & set(np.argsort(-s)[:20].tolist())) / 20)
+        assert np.mean(shares) >= 0.9
+        if scattered:
+            assert len(passes) == 2 and passes[1][0] == passes[0][0] // 2 and passes[1][1] <= 60
+    assert depths[0] >= 4 and abs(depths[0] - depths[1]) <= 2
+
+
+def test_a_third_of_equal_vectors(spark):
+    x = np.random.default_rng(9).standard_normal((300, 8)).astype(np.float32)
+    x[:100] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[0].tolist())] * 50 + [(None, x[0].tolist())]
+    got: dict[int, list] = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), aim=1.1, crowd=40, asks=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    x = x.astype(float)
+    for q in range(0, 300, 20):
+        s = np.round(x @ x[q], 9)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(300), -s))[:20].tolist()
