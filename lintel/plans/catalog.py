@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lintel.functions import urls
 from lintel.functions import vocabulary as V
 from lintel.operators import changes, documents, graph, harvest, packs, rules, signals, sinks, verdicts
-from lintel.plans import attribution_queries, content_queries, contract_queries, module_queries, review_queries, state_queries  # noqa: F401
+from lintel.plans import attribution_queries, content_queries, contract_queries, module_queries, review_queries, state_queries, subject_queries  # noqa: F401
 from lintel.plans.made_pages import APPLIES, EVIDENCE, MADE, SUBJECT_COUNTS
 from lintel.plans.registry import ORACLES, QUERIES, Query, query, values
 from lintel.plans.seeds import SEEDS
