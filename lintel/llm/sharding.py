@@ -2,7 +2,8 @@
 
 Links join documents with equal texts. Linked documents start at hashed shards and move, by
 iterated Spark joins, to the shard that holds most of their group and has room for the rest (to the one that holds
-most where none has), small cells first, as far as the target's capacity (an even share of all bytes) allows. What moves is a cell: the members of one group
+most where none has), small cells first, as far as the target's capacity (an even share of all bytes) allows; a queue's prefix sums
+count against the whole of it, however many cells there are. What moves is a cell: the members of one group
 that started in one shard, so a group with a third of all rows stays spread over its cells.
 Cells that leave a shard over its share are dissolved. Unlinked documents then fill the shards to the same level: from large to small (bands by powers
 of two), each band is laid along the shards' gaps by prefix sums, and later, smaller bands
@@ -66,38 +67,47 @@ def _pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), at + 1)
 
 
-def propagate(cells: DataFrame, shards: int, cap: float, rounds: int) -> DataFrame:
-    """Move cells (g1, g2, start, n, bytes) towards their group's main shard; adds ``shard``."""
+def _queued(rows: DataFrame, goal: Column, salts: int, *order: Column | str) -> DataFrame:
+    """Adds ``asked``: the bytes of a row and of all before it in the queue of its ``goal``, small cells first; null without a goal.
+
+    A queue is summed in two levels, per band of sizes (powers of two) and salt, then inside them, so all of it counts against one room.
+    """
+    waits = goal.isNotNull()
+    keyed = rows.withColumn("_goal", goal).withColumn("_band", F.length(F.bin("bytes"))).withColumn("_salt", F.when(waits, F.pmod("g1", F.lit(salts))).otherwise(F.pmod("g2", F.lit(997))))
+    key = ["_goal", "_band", "_salt"]
+    sums = keyed.where("_goal is not null").groupBy(*key).agg(F.sum("bytes").alias("sum"))
+    before = Window.partitionBy("_goal").orderBy("_band", "_salt").rowsBetween(Window.unboundedPreceding, -1)  # bands x salts rows a goal
+    sums = sums.select(*key, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*key).orderBy("bytes", *order, "g1", "g2", "start").rowsBetween(Window.unboundedPreceding, 0)
+    return keyed.withColumn("inner", F.sum("bytes").over(inside)).join(sums, key, "left").withColumn("asked", F.col("inner") + F.col("offset")).drop(*key, "inner", "offset")
+
+
+def propagate(cells: DataFrame, shards: int, cap: float, rounds: int, queue: int = 20_000) -> DataFrame:
+    """Move cells (g1, g2, start, n, bytes) towards their group's main shard; adds ``shard``. ``queue`` is how many cells are put in order together."""
     state, salts = materialize(cells.withColumn("shard", F.col("start")).withColumn("moved", F.lit(0)), "labels"), 1
     for _ in range(rounds):
         facts = state.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("cells")).collect()  # one row per shard
         loads = {r["shard"]: r["bytes"] for r in facts}
-        salts = max(1, sum(r["cells"] for r in facts) // 20000)
-        free = _room(loads, cap, shards)
-        room = [r // salts for r in free]
+        salts = max(1, sum(r["cells"] for r in facts) // queue)
+        room = _room(loads, cap, shards)
         votes = state.groupBy("g1", "g2", "shard").agg(F.sum("bytes").alias("bytes"))
         rest = F.sum("bytes").over(Window.partitionBy("g1", "g2")) - F.col("bytes")  # at most `shards` rows a group
-        votes = votes.withColumn("fits", rest <= _pick(free, F.col("shard")))  # a shard that has room for the rest of the group comes first
+        votes = votes.withColumn("fits", rest <= _pick(room, F.col("shard")))  # a shard that has room for the rest of the group comes first
         best = F.max(F.struct("fits", "bytes", F.xxhash64("g1", "shard").alias("tie"), "shard"))
         wanted = votes.groupBy("g1", "g2").agg(best.alias("b")).select("g1", "g2", F.col("b.shard").alias("goal"), F.col("b.bytes").alias("pull"))
         joined = state.join(wanted, ["g1", "g2"])
-        moving = F.col("shard") != F.col("goal")
-        queue = Window.partitionBy(F.when(moving, F.col("goal")).otherwise(-1), F.pmod("g1", F.lit(salts)), F.when(moving, 0).otherwise(F.pmod("g2", F.lit(997)))).orderBy("bytes", F.desc("pull"), "g1", "g2", "start")  # a cell that does not fit holds up no smaller one
-        asked = F.sum("bytes").over(queue.rowsBetween(Window.unboundedPreceding, 0))
-        take = moving & (F.col("asked") <= _pick(room, F.col("goal")))
-        after = joined.withColumn("asked", asked).select(
-            "g1", "g2", "start", "n", "bytes", F.when(take, F.col("goal")).otherwise(F.col("shard")).alias("shard"), F.when(take, 1).otherwise(0).alias("moved")
-        )
+        asked = _queued(joined, F.when(F.col("shard") != F.col("goal"), F.col("goal")), salts, F.desc("pull"))  # a cell that does not fit holds up no smaller one
+        take = F.coalesce(F.col("asked") <= _pick(room, F.col("goal")), F.lit(False))
+        after = asked.select("g1", "g2", "start", "n", "bytes", F.when(take, F.col("goal")).otherwise(F.col("shard")).alias("shard"), F.when(take, 1).otherwise(0).alias("moved"))
         older, state = state, materialize(after, "labels")
         discard(older)
         if not state.agg(F.sum("moved")).first()[0]:
             break
     # Cells over a shard's capacity, largest first, give up their place; their documents fill gaps one by one.
     loads = {r["shard"]: r["bytes"] for r in state.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
-    quota = [int(cap) // salts if loads.get(s, 0) > cap else 1 << 62 for s in range(shards)]
-    queue = Window.partitionBy("shard", F.pmod("g1", F.lit(salts)), F.when(_pick(quota, F.col("shard")) == 1 << 62, F.pmod("g2", F.lit(997)))).orderBy("bytes", "g1", "g2", "start")
-    held = F.sum("bytes").over(queue.rowsBetween(Window.unboundedPreceding, 0))
-    return state.withColumn("held", held).withColumn("shard", F.when(F.col("held") <= _pick(quota, F.col("shard")), F.col("shard"))).drop("held")
+    over = [s for s, n in loads.items() if n > cap]
+    held = _queued(state, F.when(F.col("shard").isin(over), F.col("shard")), salts)
+    return held.withColumn("shard", F.when(F.coalesce(F.col("asked") <= int(cap), F.lit(True)), F.col("shard"))).drop("asked")
 
 
 def _gaps(loads: list[int], amount: int) -> list[int]:

@@ -3,6 +3,8 @@
 import inspect
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lintel.llm import ann, minhash, quality, sharding
 
@@ -110,3 +112,33 @@ def test_a_third_of_equal_vectors(spark):
         s = np.round(x @ x[q], 9)
         s[q] = -np.inf
         assert got[q] == np.lexsort((np.arange(300), -s))[:20].tolist()
+
+
+@pytest.mark.parametrize("queue", [20_000, 50])
+def test_room_is_not_divided(spark, queue):
+    # A group of two cells, each half of a shard's room, beside 400 small groups of two cells: it joins however many cells are put in order together.
+    small = [(g, g, s, 1, 10) for g in range(10, 410) for s in (g % 8, (g + 1 + g // 8) % 8)]
+    rows = small + [(1, 1, 0, 1, 500), (1, 1, 1, 1, 500)]
+    cells = spark.createDataFrame(sorted(set(rows)), "g1 long, g2 long, start int, n long, bytes long")
+    got = sharding.propagate(cells, 8, 2600.0, 6, queue).collect()
+    shards: dict[int, set] = {}
+    load = [0] * 8
+    for r in got:
+        shards.setdefault(r["g1"], set()).add(r["shard"])
+        if r["shard"] is not None:
+            load[r["shard"]] += r["bytes"]
+    assert len(got) == len(set(rows)) and max(load) <= 2600
+    assert len(shards[1]) == 1 and None not in shards[1]
+    assert sum(len(s) == 1 for s in shards.values()) >= 390
+
+
+def test_queues_add_up_over_bands_and_salts(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(rng.integers(1 << 40)), i, int(rng.integers(4)), int(rng.integers(1, 5000)), int(rng.integers(5))) for i in range(400)]
+    df = spark.createDataFrame(data, "g1 long, g2 long, start int, bytes long, to int")
+    got = sharding._queued(df, F.when(F.col("to") < 4, F.col("to")), 7).collect()
+    for goal in range(4):
+        mine = sorted((r["asked"], r["bytes"]) for r in got if r["to"] == goal)
+        assert [a for a, _ in mine] == np.cumsum([b for _, b in mine]).tolist()
+        assert [b.bit_length() for _, b in mine] == sorted(b.bit_length() for _, b in mine)
+    assert len(got) == 400 and all(r["asked"] is None for r in got if r["to"] == 4)
