@@ -42,7 +42,7 @@ def with_per_cents(sf_dir, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["rule_missing_main_landmark", "audit_baseline", "audit_sarif", "audit_severities", "audit_tickets", "audit_units", "audit_upsert_tallies"])
+@pytest.mark.parametrize("name", ["rule_missing_main_landmark", "audit_baseline", "audit_sarif", "audit_severities", "audit_tickets", "audit_units", "audit_upsert_tallies", "audit_upserts"])
 def test_query_over_per_cents(spark, with_per_cents, name):
     folder, con = with_per_cents
     cur = con.execute(catalog.ORACLES[name])
